@@ -1,2 +1,66 @@
-QUERIES = {}
-SQL = {}
+"""Queries over the training-data operators, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
+from . import formatting, topn
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "search_request")
+    return formatting.copies(requests, "query", "request_id").select(F.col("first").alias("first_request_id"), "request_id")
+
+
+def p5_distinct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record for each distinct query, with the number of its copies."""
+    classes, _ = formatting.collapse(table(spark, sf_dir, "search_request"), "query", "request_id")
+    return classes.select(F.col("first").alias("first_request_id"), "copies")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topn.top_n_per_group(
+        table(spark, sf_dir, "search_match"), table(spark, sf_dir, "search_request"), group="generation", item="key", score="score", rank="rank", ident="match_id", n="top_k"
+    )
+
+
+_FORMS_SQL = r"""
+WITH raw AS (
+  SELECT query, count(*) AS n, min(request_id) AS id FROM search_request WHERE query IS NOT NULL AND request_id IS NOT NULL GROUP BY query
+), form AS (
+  SELECT query, n, id, CASE WHEN regexp_matches(query, '[:=]')
+    THEN 'F' || array_to_string(list_sort(list_filter(list_transform(
+           regexp_split_to_array(query, '[;|,&\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]'),
+           lambda p: regexp_replace(lower(regexp_extract(p, '^[^:=]*')), '[^\p{L}\p{N}]+', '', 'g') || chr(1)
+                  || regexp_replace(lower(regexp_replace(p, '^[^:=]*[:=]?', '')), '[^\p{L}\p{N}]+', '', 'g')),
+           lambda f: f <> chr(1))), chr(2))
+    ELSE 'T' || regexp_replace(lower(query), '[^\p{L}\p{N}]+', '', 'g') END AS canonical
+  FROM raw
+), class AS (SELECT canonical, min(id) AS first, sum(n)::BIGINT AS copies FROM form WHERE length(canonical) > 1 GROUP BY canonical)
+"""
+
+_P6_SQL = """
+WITH asked AS (SELECT generation, max(top_k) AS n FROM search_request WHERE top_k > 0 GROUP BY generation),
+placed AS (
+  SELECT m.match_id, m.generation, m.key, m.score + 0.0::FLOAT AS score, m.rank, a.n,
+         row_number() OVER (PARTITION BY m.generation, m.key ORDER BY m.score + 0.0::FLOAT DESC, m.rank ASC NULLS LAST, m.match_id) AS own
+  FROM search_match m JOIN asked a USING (generation) WHERE m.key IS NOT NULL AND m.match_id IS NOT NULL AND m.score IS NOT NULL AND NOT isnan(m.score)
+), kept AS (
+  SELECT match_id, n, row_number() OVER (PARTITION BY generation ORDER BY score DESC, rank ASC NULLS LAST, match_id) AS place FROM placed WHERE own = 1
+)
+SELECT match_id FROM kept WHERE place <= n
+"""
+
+QUERIES = {
+    "p5_found": p5_found,
+    "p5_distinct_queries": p5_distinct_queries,
+    "p6_found": p6_found,
+}
+SQL = {
+    "p5_found": _FORMS_SQL
+    + "SELECT c.first AS first_request_id, r.request_id FROM search_request r JOIN form f ON f.query = r.query JOIN class c USING (canonical) WHERE r.request_id <> c.first",
+    "p5_distinct_queries": _FORMS_SQL + "SELECT first AS first_request_id, copies FROM class",
+    "p6_found": _P6_SQL,
+}
