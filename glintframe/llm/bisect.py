@@ -41,7 +41,7 @@ def _two_means(x: np.ndarray, iterations: int) -> np.ndarray:
 
 
 def fit_leaves(x: np.ndarray, max_leaves: int, leaf_rows: float, min_cosine: float = 1.0, iterations: int = 6) -> np.ndarray:
-    """Centres (leaves x dims, unit length) of the bisecting tree over the unit rows ``x``.
+    """Centres (leaves x dims, unit length) of the bisecting tree over the unit rows ``x``, in the order of the tree.
 
     The node of the largest dispersion (sum of 1 - cosine to its centre) is
     split first.  A node is left alone once it has at most ``leaf_rows`` rows,
@@ -50,29 +50,26 @@ def fit_leaves(x: np.ndarray, max_leaves: int, leaf_rows: float, min_cosine: flo
     """
     if len(x) == 0:
         return np.zeros((0, x.shape[1] if x.ndim == 2 else 0), dtype=np.float32)
-    leaves: list[np.ndarray] = []
-    heap: list[tuple[float, int, np.ndarray, np.ndarray]] = []
-    serial = 0
+    leaves: list[tuple[str, np.ndarray]] = []
+    heap: list[tuple[float, str, np.ndarray, np.ndarray]] = []
 
-    def offer(rows: np.ndarray) -> None:
-        nonlocal serial
+    def offer(path: str, rows: np.ndarray) -> None:
         part = x[rows]
         c = _centre(part)
         cos = part @ c
         if len(rows) <= leaf_rows or len(rows) < 2 or cos.min() >= min(min_cosine, 1 - 1e-6):
-            leaves.append(c)
+            leaves.append((path, c))
             return
-        serial += 1
-        heapq.heappush(heap, (-float((1 - cos).sum()), serial, rows, c))
+        heapq.heappush(heap, (-float((1 - cos).sum()), path, rows, c))
 
-    offer(np.arange(len(x)))
+    offer("", np.arange(len(x)))
     while heap and len(leaves) + len(heap) < max_leaves:
-        _, _, rows, c = heapq.heappop(heap)
+        _, path, rows, c = heapq.heappop(heap)
         side = _two_means(x[rows], iterations)
         if side.all() or not side.any():
-            leaves.append(c)
+            leaves.append((path, c))
             continue
-        offer(rows[side])
-        offer(rows[~side])
-    leaves.extend(h[3] for h in heap)
-    return np.vstack(leaves)
+        offer(path + "0", rows[side])
+        offer(path + "1", rows[~side])
+    leaves.extend((h[1], h[3]) for h in heap)
+    return np.vstack([c for _, c in sorted(leaves, key=lambda leaf: leaf[0])])

@@ -6,7 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import formatting, topn
+from . import formatting, neighbours, topn
+from .vectors import with_dimensions
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of index_entry (side 0) and search_response (side 1)."""
+    header = table(spark, sf_dir, "index_header")
+    entries = with_dimensions(table(spark, sf_dir, "index_entry"), header, side=0)
+    return entries.unionByName(with_dimensions(table(spark, sf_dir, "search_response"), header, side=1))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest_vectors(_vectors(spark, sf_dir), k=5, min_similarity=0.90)
+    return found.select(F.col("query_id").alias("response_vec_id"), F.col("vec_id").alias("entry_vec_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +67,7 @@ SELECT match_id FROM kept WHERE place <= n
 """
 
 QUERIES = {
+    "p2_found": p2_found,
     "p5_found": p5_found,
     "p5_distinct_queries": p5_distinct_queries,
     "p6_found": p6_found,
