@@ -31,12 +31,13 @@ MAX_INDEXES = 256
 
 @dataclass
 class Cells:
-    """One index: its leaves, the rows expected in each, and their units."""
+    """One index: its leaves, the rows expected in each with their mean cosine to the centre, and their units."""
 
     number: int
     dims: int
     centres: np.ndarray
     rows: np.ndarray
+    tight: np.ndarray
     extra: bytes
     first_unit: np.ndarray | None = None
     splits: np.ndarray | None = None
@@ -88,19 +89,20 @@ def fit_cells(
         parts = [m for b in batches.combine_chunks().to_batches() for _, _, m in usable_rows(b)]
         name = key[0].as_py()
         if not parts:
-            return pa.table({"index_name": pa.array([], pa.string()), "dims": pa.array([], pa.int32()), "centres": pa.array([], pa.binary()), "share": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
+            return pa.table({"index_name": pa.array([], pa.string()), "dims": pa.array([], pa.int32()), "centres": pa.array([], pa.binary()), "share": pa.array([], pa.binary()), "tight": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
         x = unit_rows(np.vstack(parts))
         wanted = max(1, min(max_cells, counts[name] // rows_per_cell, len(x)))
         centres = fit_leaves(x, wanted, 4, min_cosine)
         own = nearest(x, centres)
-        share = np.bincount(own, minlength=len(centres)).astype(np.float64) / len(x)
+        count = np.bincount(own, minlength=len(centres)).astype(np.float64)
+        tight = np.bincount(own, np.einsum("ij,ij->i", x, centres[own]), len(centres)) / np.maximum(count, 1)
         more = extra(x, centres[own]) if extra else b""
-        return pa.table({"index_name": [name], "dims": pa.array([x.shape[1]], pa.int32()), "centres": [centres.tobytes()], "share": [share.tobytes()], "extra": [more]})
+        return pa.table({"index_name": [name], "dims": pa.array([x.shape[1]], pa.int32()), "centres": [centres.tobytes()], "share": [(count / len(x)).tobytes()], "tight": [tight.tobytes()], "extra": [more]})
 
-    fitted = sample.groupBy("index_name").applyInArrow(fit, "index_name string, dims int, centres binary, share binary, extra binary").collect()
+    fitted = sample.groupBy("index_name").applyInArrow(fit, "index_name string, dims int, centres binary, share binary, tight binary, extra binary").collect()
     out, base = {}, 0
     for k, r in enumerate(sorted(fitted, key=lambda r: r["index_name"])):
-        c = Cells(k, r["dims"], np.frombuffer(r["centres"], np.float32).reshape(-1, r["dims"]), np.frombuffer(r["share"], np.float64) * counts[r["index_name"]], bytes(r["extra"]))
+        c = Cells(k, r["dims"], np.frombuffer(r["centres"], np.float32).reshape(-1, r["dims"]), np.frombuffer(r["share"], np.float64) * counts[r["index_name"]], np.frombuffer(r["tight"], np.float64), bytes(r["extra"]))
         base = _pack_units(c, base, UNIT_ROWS)
         out[r["index_name"]] = c
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import formatting, neighbours, topn
+from . import clusters, formatting, neighbours, topn
 from .vectors import with_dimensions
 
 
@@ -22,6 +22,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("response_vec_id"), F.col("vec_id").alias("entry_vec_id"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.linked_groups(_vectors(spark, sf_dir), min_similarity=0.90, min_size=3)
+
+
+def p3_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf of an index with its size and its three most typical members."""
+    described = clusters.describe_leaves(clusters.leaf_members(_vectors(spark, sf_dir)), typical=3)
+    keys = table(spark, sf_dir, "index_entry").select("vec_id", "key")
+    return described.join(keys, "vec_id", "left")
+
+
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf of every usable vector."""
+    return clusters.leaf_members(_vectors(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = table(spark, sf_dir, "search_request")
     return formatting.copies(requests, "query", "request_id").select(F.col("first").alias("first_request_id"), "request_id")
@@ -68,6 +84,9 @@ SELECT match_id FROM kept WHERE place <= n
 
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_leaves": p3_leaves,
+    "p3_members": p3_members,
     "p5_found": p5_found,
     "p5_distinct_queries": p5_distinct_queries,
     "p6_found": p6_found,
