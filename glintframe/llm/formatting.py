@@ -49,7 +49,9 @@ def collapse(records: DataFrame, text: str, ident: str) -> tuple[DataFrame, Data
     )
     forms = raw.withColumn("canonical", canonical(F.col("_text"))).filter("canonical is not null")
     classes = forms.groupBy("canonical").agg(F.min("_id").alias("first"), F.sum("_n").alias("copies"))
-    return classes, forms.join(classes, "canonical").select(F.col("_text").alias(text), "first")
+    # always true, but with it both uses of the raw groups have the same columns and share one shuffle
+    of_text = forms.join(classes, "canonical").filter(F.col("_id") >= F.col("first"))
+    return classes, of_text.select(F.col("_text").alias(text), "first")
 
 
 def copies(records: DataFrame, text: str, ident: str) -> DataFrame:

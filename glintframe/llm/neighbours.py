@@ -31,6 +31,9 @@ Z = 3.0
 #: Inner product from which errors matter, for the weight of parallel errors.
 SCORE_THRESHOLD = 0.2
 QUERY_BLOCK = 2_048
+#: Pairs scored at once, and bytes of raw vectors gathered at once.
+SCAN_PAIRS = 1 << 20
+GATHER_BYTES = 16 << 20
 
 
 def _padded(r: np.ndarray) -> np.ndarray:
@@ -180,12 +183,13 @@ class Block:
                 if c not in self.spans:
                     continue
                 a, b = self.spans[c]
-                for qs in np.array_split(who[np.searchsorted(what, c) : np.searchsorted(what, c, "right")], max(1, (b - a) * 1 // 4096 + 1)):
-                    if len(qs):
-                        e, w, s = self._scan(int(c), a, b, qs, q, q64, table, least)
-                        found_e.append(e)
-                        found_q.append(w)
-                        found_s.append(s)
+                here = who[np.searchsorted(what, c) : np.searchsorted(what, c, "right")]
+                step = max(1, SCAN_PAIRS // (b - a))
+                for k in range(0, len(here), step):
+                    e, w, s = self._scan(int(c), a, b, here[k : k + step], q, q64, table, least)
+                    found_e.append(e)
+                    found_q.append(w)
+                    found_s.append(s)
             if not found_q:
                 continue
             w, e, s = np.concatenate(found_q), np.concatenate(found_e), np.concatenate(found_s)
@@ -212,8 +216,9 @@ class Block:
             least[qs] = np.maximum(least[qs], sure)
         e, w = np.nonzero(score + slack >= least[qs] - 1e-6)
         exact = np.empty(len(e))
-        for i in range(0, len(e), 65_536):
-            j = slice(i, i + 65_536)
+        step = max(1, GATHER_BYTES // (8 * q64.shape[1]))
+        for i in range(0, len(e), step):
+            j = slice(i, i + step)
             exact[j] = np.einsum("ij,ij->i", self.raw[a + e[j]], q64[qs[w[j]]]) / self.norm[a + e[j]]
         ok = exact >= self.min
         return a + e[ok], qs[w[ok]], exact[ok]

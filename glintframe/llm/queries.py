@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clusters, formatting, neighbours, topn
+from . import clusters, formatting, neighbours, tokens, topn, varied
 from .vectors import with_dimensions
 
 
@@ -17,6 +17,15 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.unionByName(with_dimensions(table(spark, sf_dir, "search_response"), header, side=1))
 
 
+def p1_varied_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every index 200 query vectors that cover what was asked, in the order they were picked, with their query."""
+    answers = table(spark, sf_dir, "search_response")
+    picks = varied.varied_subset(with_dimensions(answers, table(spark, sf_dir, "index_header")), k=200)
+    asked = table(spark, sf_dir, "search_request").groupBy("generation").agg(F.min("query").alias("query"))
+    own = picks.join(answers.select("vec_id", "generation"), "vec_id")
+    return own.join(asked, "generation", "left").select("index_name", "pick", "vec_id", "query")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neighbours.nearest_vectors(_vectors(spark, sf_dir), k=5, min_similarity=0.90)
     return found.select(F.col("query_id").alias("response_vec_id"), F.col("vec_id").alias("entry_vec_id"))
@@ -49,6 +58,10 @@ def p5_distinct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("first").alias("first_request_id"), "copies")
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n_per_group(
         table(spark, sf_dir, "search_match"), table(spark, sf_dir, "search_request"), group="generation", item="key", score="score", rank="rank", ident="match_id", n="top_k"
@@ -83,6 +96,7 @@ SELECT match_id FROM kept WHERE place <= n
 """
 
 QUERIES = {
+    "p1_varied_queries": p1_varied_queries,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_leaves": p3_leaves,
@@ -90,6 +104,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_distinct_queries": p5_distinct_queries,
     "p6_found": p6_found,
+    "p7_ids": p7_ids,
 }
 SQL = {
     "p5_found": _FORMS_SQL
