@@ -2,9 +2,11 @@
 
 The tree of an index is fitted on a bounded sample (``SAMPLE_ROWS`` rows, at
 most ``SAMPLE_BYTES``); every row is then assigned to its nearest leaf.
-Neighbouring leaves are packed into units of about ``UNIT_ROWS`` rows, and a
-leaf of more rows is cut into several units by a hash of the id, so no task
-holds more than a unit however the rows lie.
+The leaves are numbered from the tightest to the loosest, and packed in that
+order into units of about ``UNIT_ROWS`` rows, so that vectors far from every
+centre, which probe many loose leaves, go to few units.  A leaf of more rows
+is cut into several units by a hash of the id; no task holds more than a unit
+however the rows lie.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bisect import fit_leaves, unit_rows
+from .bisect import fit_leaves
+from .bisect import unit_rows as to_unit
 from .vectors import usable_rows
 
 SAMPLE_ROWS = 65_536
@@ -25,13 +28,14 @@ SAMPLE_BYTES = 48 << 20
 ROWS_PER_CELL = 256
 MAX_CELLS = 8_192
 UNIT_ROWS = 16_384
+UNIT_BYTES = 24 << 20
 #: Indexes that a call may have: their centres travel to every executor.
 MAX_INDEXES = 256
 
 
 @dataclass
 class Cells:
-    """One index: its leaves, the rows expected in each with their mean cosine to the centre, and their units."""
+    """One index: its leaves from the tightest on, the rows expected in each with their mean cosine to the centre, and their units."""
 
     number: int
     dims: int
@@ -68,6 +72,7 @@ def fit_cells(
     rows_per_cell: int = ROWS_PER_CELL,
     max_cells: int = MAX_CELLS,
     extra: Callable[[np.ndarray, np.ndarray], bytes] | None = None,
+    unit_rows: int = UNIT_ROWS,
 ) -> dict[str, Cells]:
     """The cells of every index of ``vectors`` (index_name, dims, vec_id, embedding).
 
@@ -90,7 +95,7 @@ def fit_cells(
         name = key[0].as_py()
         if not parts:
             return pa.table({"index_name": pa.array([], pa.string()), "dims": pa.array([], pa.int32()), "centres": pa.array([], pa.binary()), "share": pa.array([], pa.binary()), "tight": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
-        x = unit_rows(np.vstack(parts))
+        x = to_unit(np.vstack(parts))
         wanted = max(1, min(max_cells, counts[name] // rows_per_cell, len(x)))
         centres = fit_leaves(x, wanted, 4, min_cosine)
         own = nearest(x, centres)
@@ -102,8 +107,11 @@ def fit_cells(
     fitted = sample.groupBy("index_name").applyInArrow(fit, "index_name string, dims int, centres binary, share binary, tight binary, extra binary").collect()
     out, base = {}, 0
     for k, r in enumerate(sorted(fitted, key=lambda r: r["index_name"])):
-        c = Cells(k, r["dims"], np.frombuffer(r["centres"], np.float32).reshape(-1, r["dims"]), np.frombuffer(r["share"], np.float64) * counts[r["index_name"]], np.frombuffer(r["tight"], np.float64), bytes(r["extra"]))
-        base = _pack_units(c, base, UNIT_ROWS)
+        tight = np.frombuffer(r["tight"], np.float64)
+        turn = np.argsort(-tight, kind="stable")
+        centres = np.frombuffer(r["centres"], np.float32).reshape(-1, r["dims"])[turn]
+        c = Cells(k, r["dims"], centres, np.frombuffer(r["share"], np.float64)[turn] * counts[r["index_name"]], tight[turn], bytes(r["extra"]))
+        base = _pack_units(c, base, max(1, min(unit_rows, UNIT_BYTES // (4 * c.dims))))
         out[r["index_name"]] = c
     return out
 

@@ -220,8 +220,17 @@ class Block:
         for i in range(0, len(e), step):
             j = slice(i, i + step)
             exact[j] = np.einsum("ij,ij->i", self.raw[a + e[j]], q64[qs[w[j]]]) / self.norm[a + e[j]]
-        ok = exact >= self.min
-        return a + e[ok], qs[w[ok]], exact[ok]
+        ok = np.flatnonzero(exact >= least[qs[w]] - 1e-12)
+        # of each query what reaches its k-th best, ties included
+        ok = ok[np.lexsort((-exact[ok], w[ok]))]
+        e, w, exact = e[ok], w[ok], exact[ok]
+        begin = np.searchsorted(w, w)
+        kth = begin + self.k - 1
+        full = (kth < len(w)) & (w[np.minimum(kth, len(w) - 1)] == w) if len(w) else np.zeros(0, bool)
+        bar = np.where(full, exact[np.minimum(kth, len(w) - 1)], -1.0) if len(w) else exact
+        np.maximum.at(least, qs[w], bar)
+        keep = exact >= bar
+        return a + e[keep], qs[w[keep]], exact[keep]
 
 
 def _router(model, k: int, min_similarity: float, z: float):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clusters, formatting, neighbours, tokens, topn, varied
+from . import clusters, formatting, mixing, neighbours, tokens, topn, varied
 from .vectors import with_dimensions
 
 
@@ -95,6 +95,18 @@ placed AS (
 SELECT match_id FROM kept WHERE place <= n
 """
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is taken."""
+    mixed, _ = mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+    return mixed
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    _, report = mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+    return report
+
+
 QUERIES = {
     "p1_varied_queries": p1_varied_queries,
     "p2_found": p2_found,
@@ -105,6 +117,8 @@ QUERIES = {
     "p5_distinct_queries": p5_distinct_queries,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
 }
 SQL = {
     "p5_found": _FORMS_SQL
