@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import clusters, formatting, mixing, neighbours, tokens, topn, varied
+from . import abuse, clusters, formatting, mixing, neighbours, tokens, topn, varied
 from .vectors import with_dimensions
 
 
@@ -107,6 +107,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report
 
 
+def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_label"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).filter("toxic").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    return _abuse_scores(spark, sf_dir).select("doc_id", "score")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of toxic documents of every source."""
+    return abuse.rates(_abuse_scores(spark, sf_dir))
+
+
 QUERIES = {
     "p1_varied_queries": p1_varied_queries,
     "p2_found": p2_found,
@@ -119,6 +137,9 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 SQL = {
     "p5_found": _FORMS_SQL

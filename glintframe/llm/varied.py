@@ -129,12 +129,14 @@ def varied_subset(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
                 if len(ident):
                     yield _batch(name, node, ident, raw)
 
-        def play(key, table: pa.Table, rank=rank) -> pa.Table:
+        again = rank
+
+        def play(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             name, node = key[0].as_py(), key[1].as_py()
             parts = [(b["vec_id"].to_numpy(), b["vec"]) for b in table.to_batches() if b.num_rows]
             dims = len(parts[0][1][0].as_py()) // 4
             ident, raw = np.concatenate([p[0] for p in parts]), np.vstack([from_binary(p[1], dims) for p in parts])
-            best = rank(name, ident, raw)
+            best = again(name, ident, raw)
             return pa.Table.from_batches([_batch(name, node, ident[best], raw[best])])
 
         round_ = vectors.mapInArrow(nominate, _ROWS)
