@@ -21,13 +21,12 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Reviewed documents that the dictionaries are made of, at most; beyond, a sample by hash of the id.
-MAX_REVIEWED = 20_000
+MAX_REVIEWED = 30_000
 #: Bytes of the dictionaries; more windows than fit are sampled.
 ORDINARY_BYTES = 4 << 20
 TOXIC_BYTES = 1 << 20
@@ -39,11 +38,15 @@ WINDOW = 120
 OVERLAP = 60
 #: Windows up to this many bytes are compared with the toxic dictionary unpadded (see Sizes).
 SHORT = 40
-#: Least out-of-fold score of a window that stays in the toxic dictionary, and least threshold of a document.
+#: What their score loses for the nearer matches of the unpadded dictionary.
+SHORT_COST = 0.12
+#: Least out-of-fold score of a window that stays in the toxic dictionary (with and without a word triple
+#: that leans to toxic documents), and least threshold of a document.
 STAYS = 0.03
-LEAST_THRESHOLD = 0.08
+STAYS_ALONE = 0.2
+LEAST_THRESHOLD = 0.05
 #: F1 that may be given up for a higher threshold.
-F1_SLACK = 0.01
+F1_SLACK = 0.003
 MEMO = 100_000
 
 # Digits and signs written for letters, and letters of other scripts that look like Latin ones.
@@ -135,7 +138,10 @@ class Scorer:
         s = self.memo.get(w)
         if s is None:
             b = w.encode("utf-8", "ignore")
-            s = (self.ordinary(b) - (self.short if len(b) <= SHORT else self.toxic)(b)) / (len(b) + 10)
+            if len(b) <= SHORT:
+                s = (self.ordinary(b) - self.short(b)) / (len(b) + 10) - SHORT_COST
+            else:
+                s = (self.ordinary(b) - self.toxic(b)) / (len(b) + 10)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[w] = s
@@ -169,8 +175,10 @@ def train(reviewed: list[tuple[int, bool, list[str]]]) -> tuple[bytes, bytes, fl
 
     Without a document judged toxic, or without a gain, the threshold is infinite.
     """
-    toxic = {i: w for i, bad, w in reviewed if bad}
-    clean = {i: w for i, bad, w in reviewed if not bad}
+    # copies of a document speak once
+    first = {(bad, tuple(w)): i for i, bad, w in reversed(reviewed)}
+    toxic = {i: list(w) for (bad, w), i in first.items() if bad}
+    clean = {i: list(w) for (bad, w), i in first.items() if not bad}
     in_toxic, in_clean, whole = Counter(), Counter(), Counter()
     for ws in toxic.values():
         in_toxic.update({g for w in ws for g in _grams(w)})
@@ -178,8 +186,8 @@ def train(reviewed: list[tuple[int, bool, list[str]]]) -> tuple[bytes, bytes, fl
         in_clean.update({g for w in ws for g in _grams(w)})
         whole.update(ws)
     # wrong verdicts: windows whose word triples speak clearly for the other side
-    leans = {w: (any(in_toxic[g] >= 3 and in_toxic[g] > in_clean[g] for g in _grams(w)), any(in_clean[g] >= 2 and in_clean[g] >= 4 * in_toxic[g] for g in _grams(w))) for ws in (*toxic.values(), *clean.values()) for w in ws}
-    fold = {i: int(np.uint64(i & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % FOLDS for i in (*toxic, *clean)}
+    leans = {w: (any(in_toxic[g] >= 3 and in_toxic[g] >= 2 * in_clean[g] for g in _grams(w)), any(in_clean[g] >= 2 and in_clean[g] >= 4 * in_toxic[g] for g in _grams(w))) for ws in (*toxic.values(), *clean.values()) for w in ws}
+    fold = {i: ((i * 0x9E3779B97F4A7C15) % 2**64 >> 40) % FOLDS for i in (*toxic, *clean)}
     chosen = {(i, w) for i, ws in toxic.items() for w in ws if whole[w] == 0 and (leans[w][0] or not leans[w][1])}
 
     def scorer(without: int | None) -> Scorer:
@@ -194,7 +202,7 @@ def train(reviewed: list[tuple[int, bool, list[str]]]) -> tuple[bytes, bytes, fl
             s = scorer(f)
             score.update({(i, w): s.window(w) for i, ws in (*toxic.items(), *clean.items()) if fold[i] == f for w in ws})
         best = {i: max((score[i, w] for w in ws), default=-1.0) for i, ws in (*toxic.items(), *clean.items())}
-        chosen = {(i, w) for i, ws in toxic.items() for w in ws if score[i, w] >= STAYS and (leans[w][0] or (whole[w] <= 1 and not leans[w][1]))}
+        chosen = {(i, w) for i, ws in toxic.items() for w in ws if score[i, w] >= (STAYS if leans[w][0] else STAYS_ALONE) and (leans[w][0] or (whole[w] <= 1 and not leans[w][1]))}
     order = sorted(best, key=lambda i: -best[i])
     threshold, hits, f1, values = float("inf"), 0, 0.0, []
     for n, i in enumerate(order, 1):
