@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,8 @@ def response_lists(matches: DataFrame, by: str = "generation") -> DataFrame:
     return kept.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", "key", "score"))).alias("matches"))
 
 
-def response_json(responses: DataFrame) -> DataFrame:
-    """One JSON line (column ``value``) for every response (generation, query_ms, search_ms, matches, embedding, error).
+def response_json(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One JSON line (column ``value``, beside those to ``keep``) for every response (generation, query_ms, search_ms, matches, embedding, error).
 
     The embedding is left out where there is none; the error is written even if null.
     """
@@ -74,4 +76,4 @@ def response_json(responses: DataFrame) -> DataFrame:
     plain = {"ignoreNullFields": "false"}
     without = F.to_json(F.struct(*base, matches, "error"), plain)
     withit = F.to_json(F.struct(*base, matches, "embedding", "error"), plain)
-    return responses.select(F.when(F.col("embedding").isNull(), without).otherwise(withit).alias("value"))
+    return responses.select(*keep, F.when(F.col("embedding").isNull(), without).otherwise(withit).alias("value"))
