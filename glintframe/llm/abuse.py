@@ -83,7 +83,7 @@ def _token(match) -> str:
     signs = len(w) - letters
     if len(w) >= 8 and signs >= 3:
         return "0"
-    return w.translate(_SIGNS) if letters >= 3 and letters >= 2 * signs else w
+    return w.translate(_SIGNS) if letters >= 3 and letters > signs else w
 
 
 def normalised(text: str) -> str:
