@@ -31,9 +31,14 @@ Z = 3.0
 #: Inner product from which errors matter, for the weight of parallel errors.
 SCORE_THRESHOLD = 0.2
 QUERY_BLOCK = 2_048
-#: Pairs scored at once, and bytes of raw vectors gathered at once.
+#: Pairs scored at once, those of them whose table entries are added while they stay in the cache, and bytes of raw vectors gathered at once.
 SCAN_PAIRS = 1 << 20
+CACHED_PAIRS = 1 << 16
 GATHER_BYTES = 16 << 20
+#: Share of a block's pairs from which they are scored again as a block rather than one by one.
+DENSE = 0.02
+#: Decimals of a similarity; cosines that differ by rounding alone are equal.
+DECIMALS = 12
 
 
 def _padded(r: np.ndarray) -> np.ndarray:
@@ -201,25 +206,42 @@ class Block:
             keep = np.arange(len(w)) - np.searchsorted(w, w) < self.k
             yield ident[i:j][w[keep]], v[keep], s[keep]
 
+    def _exact(self, e: np.ndarray, w: np.ndarray, q64: np.ndarray) -> np.ndarray:
+        """Cosines of own rows and queries, pair by pair."""
+        out = np.empty(len(e))
+        step = max(1, GATHER_BYTES // (8 * q64.shape[1]))
+        for i in range(0, len(e), step):
+            j = slice(i, i + step)
+            out[j] = np.einsum("ij,ij->i", self.raw[e[j]], q64[w[j]]) / self.norm[e[j]]
+        return np.round(out, DECIMALS)
+
     def _scan(self, c: int, a: int, b: int, qs: np.ndarray, q: np.ndarray, q64: np.ndarray, table: np.ndarray, least: np.ndarray):
         qc = q[qs] @ self.cells.centres[c]
         own = np.ascontiguousarray(table[:, :, qs])
-        codes = self.codes[a:b]
-        score = own[0][codes[:, 0]]
-        for s in range(1, len(own)):
-            score += own[s][codes[:, s]]
+        score = np.empty((b - a, len(qs)), np.float32)
+        block = max(1, CACHED_PAIRS // len(qs))
+        part = np.empty((min(block, b - a), len(qs)), np.float32)
+        for i in range(a, b, block):
+            codes = self.codes[i : min(b, i + block)]
+            to, more = score[i - a : i - a + len(codes)], part[: len(codes)]
+            np.take(own[0], codes[:, 0], axis=0, out=to, mode="clip")
+            for s in range(1, len(own)):
+                np.take(own[s], codes[:, s], axis=0, out=more, mode="clip")
+                to += more
         score *= self.scale[a:b, None]
         score += qc * (1 + self.along[a:b, None])
         slack = self.across[a:b, None] * np.sqrt(np.maximum(1 - qc * qc, 0)) + 1e-6
         if b - a > self.k:
-            sure = np.partition(score - slack, b - a - self.k, axis=0)[b - a - self.k]
+            # the exact scores of the k best by code bound the k-th best from below
+            best = np.argpartition(score, b - a - self.k, axis=0)[b - a - self.k :]
+            sure = self._exact(a + best.ravel(), np.tile(qs, self.k), q64).reshape(self.k, -1).min(axis=0)
             least[qs] = np.maximum(least[qs], sure)
-        e, w = np.nonzero(score + slack >= least[qs] - 1e-6)
-        exact = np.empty(len(e))
-        step = max(1, GATHER_BYTES // (8 * q64.shape[1]))
-        for i in range(0, len(e), step):
-            j = slice(i, i + step)
-            exact[j] = np.einsum("ij,ij->i", self.raw[a + e[j]], q64[qs[w[j]]]) / self.norm[a + e[j]]
+        score += slack
+        e, w = np.nonzero(score >= least[qs] - 1e-6)
+        if len(e) > DENSE * score.size:
+            exact = np.round((self.raw[a:b] @ q64[qs].T)[e, w] / self.norm[a + e], DECIMALS)
+        else:
+            exact = self._exact(a + e, qs[w], q64)
         ok = np.flatnonzero(exact >= least[qs[w]] - 1e-12)
         # of each query what reaches its k-th best, ties included
         ok = ok[np.lexsort((-exact[ok], w[ok]))]
