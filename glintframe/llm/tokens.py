@@ -31,6 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters of text, and distinct words, that a worker holds at once.
 BLOCK_CHARS = 1 << 20
 KNOWN_WORDS = 200_000
+#: Token rows that the steps of one recursion may add up to.
+STEP_ROWS = 2_000_000
 MEMORY = "256MB"
 
 
@@ -58,16 +60,16 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
 
 _CONTRACT = """
 CREATE OR REPLACE TEMP TABLE coded AS
-WITH RECURSIVE step(word, pos, token, open) AS (
-  SELECT word, pos, token, true FROM piece
+WITH RECURSIVE step(word, pos, token, open, turn) AS (
+  SELECT word, pos, token, true, 0 FROM piece
   UNION ALL
-  SELECT word, pos, token, open FROM (
+  SELECT word, pos, token, open, turn FROM (
     WITH paired AS (
-      SELECT s.word, s.pos, s.token, m.m AS rank
-      FROM (SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS after FROM step WHERE open) s
+      SELECT s.word, s.pos, s.token, s.turn, m.m AS rank
+      FROM (SELECT word, pos, token, turn, lead(token) OVER (PARTITION BY word ORDER BY pos) AS after FROM step WHERE open AND turn < $turns) s
       LEFT JOIN merge m ON m.l = s.token AND m.r = s.after
     ), least AS (
-      SELECT word, pos, token, rank, min(rank) OVER (PARTITION BY word) AS best FROM paired
+      SELECT word, pos, token, turn, rank, min(rank) OVER (PARTITION BY word) AS best FROM paired
     ), marked AS (
       SELECT *, coalesce(rank = best, false) AS hit,
              row_number() OVER (PARTITION BY word ORDER BY pos) AS nth FROM least WHERE best IS NOT NULL
@@ -78,12 +80,12 @@ WITH RECURSIVE step(word, pos, token, open) AS (
     ), told AS (
       SELECT *, coalesce(lag(takes) OVER (PARTITION BY word ORDER BY pos), false) AS taken FROM chosen
     )
-    SELECT word, pos, CASE WHEN takes THEN best ELSE token END AS token, true AS open FROM told WHERE NOT taken
+    SELECT word, pos, CASE WHEN takes THEN best ELSE token END AS token, true AS open, turn + 1 AS turn FROM told WHERE NOT taken
     UNION ALL
-    SELECT word, pos, token, false FROM least WHERE best IS NULL
+    SELECT word, pos, token, false, turn FROM least WHERE best IS NULL
   )
 )
-SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE NOT open GROUP BY word
+SELECT * FROM step WHERE NOT open OR turn = $turns
 """
 
 
@@ -96,7 +98,7 @@ class Encoder:
 
         self.cut = regex.compile(PATTERN).findall
         ranks = vocabulary(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.register("merges", merge_table(ranks))
         self.db.execute("CREATE TEMP TABLE merge AS SELECT * FROM merges")
         self.db.unregister("merges")
@@ -118,8 +120,13 @@ class Encoder:
         self.db.register("given", pa.table({"word": pa.array(words, pa.int32()), "pos": pa.array(places, pa.int32()), "token": pa.array(tokens, pa.int32())}))
         self.db.execute("CREATE OR REPLACE TEMP TABLE piece AS SELECT * FROM given")
         self.db.unregister("given")
-        self.db.execute(_CONTRACT)
-        self.db.execute("INSERT INTO word SELECT word, ids FROM coded")
+        # a recursion keeps the rows of all its steps; what is left after as many as fit goes into another one
+        left = len(words)
+        while left:
+            self.db.execute(_CONTRACT.replace("$turns", str(max(8, STEP_ROWS // left))))
+            self.db.execute("INSERT INTO word SELECT word, list(token ORDER BY pos) FROM coded WHERE NOT open GROUP BY word")
+            self.db.execute("CREATE OR REPLACE TEMP TABLE piece AS SELECT word, pos, token FROM coded WHERE open")
+            left = self.db.execute("SELECT count(*) FROM piece").fetchall()[0][0]
 
     def encode(self, texts: list[str]) -> pa.Array:
         """The ids of every text; an empty text gives an empty list."""
