@@ -18,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import checkpointed
+
 #: Query vectors that are sent to the executors at once, and their bytes.
 QUERY_BLOCK = 4_096
 QUERY_BYTES = 64 << 20
+#: Blocks that stay in the plan; the answers of further ones are written to the checkpoint folder one by one.
+OPEN_BLOCKS = 4
 #: Decimals of a score that count in orders; equal ones are ordered by key.
 DECIMALS = 9
 
@@ -137,23 +141,19 @@ def exclusion_threshold(scores: Column, precision: str = "double") -> Column:
     return F.when((n >= 4) & (high > low), F.when(end["ok"], ((end["lo"] + end["hi"]) * F.lit(0.5).cast(k)).cast(k)))
 
 
-def _collect_queries(queries: DataFrame, columns: list[str]) -> list[dict[int, list[dict]]]:
-    """The query rows by vector width, in blocks that may be sent to the executors."""
-    rows = queries.select(*columns).toLocalIterator(prefetchPartitions=True)
-    blocks: list[dict[int, list[dict]]] = []
-    count, size = 0, 0
-    for r in rows:
+def _query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[list[dict]]:
+    """The query rows in blocks that may be sent to the executors, each of one width; one block is held at a time."""
+    held: dict[int, list[dict]] = {}
+    for r in queries.select(*columns).toLocalIterator(prefetchPartitions=True):
         d = r.asDict()
         v = d["vector"]
         if d["query_id"] is None or v is None or not len(v) or any(x is None for x in v):
             continue
-        if not blocks or count >= QUERY_BLOCK or size >= QUERY_BYTES:
-            blocks.append({})
-            count = size = 0
-        blocks[-1].setdefault(len(v), []).append(d)
-        count += 1
-        size += 16 * len(v)
-    return blocks
+        own = held.setdefault(len(v), [])
+        own.append(d)
+        if len(own) >= QUERY_BLOCK or 16 * len(v) * len(own) >= QUERY_BYTES:
+            yield held.pop(len(v))
+    yield from held.values()
 
 
 def _rank(scored: DataFrame) -> DataFrame:
@@ -178,22 +178,23 @@ def top_k(index: DataFrame, queries: DataFrame, key: str = "key", vector: str =
     spark = index.sparkSession
     columns = ["query_id", "vector", "k", *(["negative"] if "negative" in queries.columns else [])]
     out = None
-    for block in _collect_queries(queries.filter("k > 0"), columns):
-        for rows in block.values():
-            for negated in (False, True):
-                own = [r for r in rows if (r.get("negative") is not None) == negated]
-                if not own:
-                    continue
-                ids, ks = np.array([r["query_id"] for r in own]), np.array([min(r["k"], 2**31 - 1) for r in own])
-                q = np.array([r["vector"] for r in own], np.float64)
-                if not negated:
-                    found = _scores(index, key, vector, ids, ks, q).withColumnRenamed("s0", "score")
-                else:
-                    both = _scores(index, key, vector, ids, None, q, np.array([r["negative"] for r in own], np.float64))
-                    found = _survivors(both, threshold_groups).withColumnRenamed("s0", "score").select("query_id", "key", "score")
-                limit = spark.createDataFrame(list(zip(ids.tolist(), ks.tolist(), strict=True)), "query_id long, k long")
-                ranked = _rank(found.select("query_id", "key", "score")).join(F.broadcast(limit), "query_id").filter("rank <= k").select("query_id", "rank", "key", "score")
-                out = ranked if out is None else out.unionByName(ranked)
+    for number, rows in enumerate(_query_blocks(queries.filter("k > 0"), columns), 1):
+        for negated in (False, True):
+            own = [r for r in rows if (r.get("negative") is not None) == negated]
+            if not own:
+                continue
+            ids, ks = np.array([r["query_id"] for r in own]), np.array([min(r["k"], 2**31 - 1) for r in own])
+            q = np.array([r["vector"] for r in own], np.float64)
+            if not negated:
+                found = _scores(index, key, vector, ids, ks, q)
+            else:
+                found = _survivors(_scores(index, key, vector, ids, None, q, np.array([r["negative"] for r in own], np.float64)), threshold_groups)
+            limit = spark.createDataFrame(list(zip(ids.tolist(), ks.tolist(), strict=True)), "query_id long, k long")
+            # limits are as many as the queries of a block
+            ranked = _rank(found.select("query_id", "key", F.col("s0").alias("score"))).join(F.broadcast(limit), "query_id").filter("rank <= k").select("query_id", "rank", "key", "score")
+            if number > OPEN_BLOCKS:
+                ranked = checkpointed(ranked)
+            out = ranked if out is None else out.unionByName(ranked)
     return spark.createDataFrame([], "query_id long, rank int, key string, score double") if out is None else out
 
 
@@ -205,8 +206,6 @@ def _survivors(both: DataFrame, threshold_groups: int) -> DataFrame:
 
 def thresholds(scores: DataFrame, threshold_groups: int = 2_000_000) -> DataFrame:
     """(query_id, threshold) from one row (query_id, score) a group; see :func:`exclusion_threshold`."""
-    from .durable import checkpointed
-
     most = scores.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     if most <= threshold_groups:
         return scores.groupBy("query_id").agg(exclusion_threshold(F.collect_list("score")).alias("threshold"))

@@ -87,7 +87,7 @@ def _judged(items: DataFrame, ranked: DataFrame) -> DataFrame:
     own = items.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
     required = F.col("item_label") == F.col("query_label")
     return (
-        ranked.join(labels, "key").join(F.broadcast(own.filter("query_id % 100 = 0")), "query_id")
+        ranked.join(labels, "key").join(own.filter("query_id % 100 = 0"), "query_id")
         .withColumns({"required": required, "forbidden": F.col("odd"), "relevant": required & ~F.col("odd"), "kind": F.concat(F.lit("label "), (F.col("query_label") % 3).cast("string"))})
     )
 

@@ -125,3 +125,19 @@ def test_float_mode_is_a_single_precision_loop(spark):
         total = np.float32(total + np.float32(x * y))
     df = spark.createDataFrame([(a.tolist(), b.tolist())], "a array<float>, b array<float>")
     assert np.float32(df.select(V.dot(F.col("a"), F.col("b"), "float")).first()[0]) == total
+
+
+def test_many_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(S, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(S, "OPEN_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    items = rng.standard_normal((40, 4))
+    df = index(spark, [(f"k{i:02d}", v) for i, v in enumerate(items)])
+    asked = rng.standard_normal((17, 4))
+    q = spark.createDataFrame([(i, v.tolist(), 2 + i % 3) for i, v in enumerate(asked)] + [(90, [1.0], 2)], "query_id long, vector array<double>, k long")
+    got = {}
+    for r in S.top_k(df.repartition(3), q).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["key"]))
+    scores = asked @ np.float32(items).T
+    want = {i: [(n + 1, f"k{j:02d}") for n, j in enumerate(np.argsort(-s)[: 2 + i % 3])] for i, s in enumerate(scores)}
+    assert {i: sorted(v) for i, v in got.items()} == want
