@@ -36,14 +36,13 @@ ROUNDS = 4
 #: Characters of a window, and of the overlap of the windows that a longer one is cut into.
 WINDOW = 120
 OVERLAP = 60
-#: Windows up to this many bytes are compared with the toxic dictionary unpadded (see Sizes).
-SHORT = 40
-#: What their score loses for the nearer matches of the unpadded dictionary.
-SHORT_COST = 0.12
+#: Windows longer than the first are also scored in overlapping pieces of whole words, of about the second's length.
+LONG, PIECE = 75, 60
 #: Least out-of-fold score of a window that stays in the toxic dictionary, with and without a word triple
-#: that leans to toxic documents.  Each pair is tried, the one of the best out-of-fold F1 is used: few
-#: reviews need the patient ones, many the strict ones.
+#: that leans to toxic documents.  Each pair is tried, and the strictest used whose out-of-fold F1 is within
+#: STRICT_SLACK of the best: few reviews need the patient ones.
 STAYS = ((-0.03, -0.03), (0.0, 0.03), (0.03, 0.2))
+STRICT_SLACK = 0.01
 #: Least threshold of a document.
 LEAST_THRESHOLD = 0.08
 #: F1 that may be given up for a higher threshold.
@@ -112,6 +111,11 @@ def windows(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+#: What every dictionary ends with and every window begins with: the first match of a block costs more
+#: than the others, and so it isn't the window's.
+ANCHOR = bytes(range(1, 9)) + bytes(range(14, 30))
+
+
 class Sizes:
     """Compressed sizes of windows by one dictionary.
 
@@ -122,27 +126,45 @@ class Sizes:
     def __init__(self, body: bytes, pad: int = 0):
         import zstandard
 
-        body = (body or b"        ") + b"\0" * max(0, pad - len(body))
+        body = body + b"\0" * max(0, pad - len(body)) + ANCHOR
         held = zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self._compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def __call__(self, w: bytes) -> int:
-        return len(self._compress(w))
+        return len(self._compress(ANCHOR + w))
+
+
+def pieces(w: str) -> list[str]:
+    """The window, and if it is long its overlapping pieces of whole words."""
+    if len(w) <= LONG:
+        return [w]
+    out, words = [w], w.split(" ")
+    at = 0
+    while at < len(words):
+        end, size = at, 0
+        while end < len(words) and (end == at or size + len(words[end]) <= PIECE):
+            size += len(words[end]) + 1
+            end += 1
+        out.append(" ".join(words[at:end]))
+        if end == len(words):
+            break
+        at += max(1, (end - at) // 2)
+    return out
 
 
 class Scorer:
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic, self.short = Sizes(ordinary), Sizes(toxic, len(ordinary)), Sizes(toxic)
+        self.ordinary, self.toxic = Sizes(ordinary, len(toxic)), Sizes(toxic, len(ordinary))
         self.memo: dict[str, float] = {}
 
+    def _score(self, w: str) -> float:
+        b = w.encode("utf-8", "ignore")
+        return (self.ordinary(b) - self.toxic(b)) / (len(b) + 10)
+
     def window(self, w: str) -> float:
         s = self.memo.get(w)
         if s is None:
-            b = w.encode("utf-8", "ignore")
-            if len(b) <= SHORT:
-                s = (self.ordinary(b) - self.short(b)) / (len(b) + 10) - SHORT_COST
-            else:
-                s = (self.ordinary(b) - self.toxic(b)) / (len(b) + 10)
+            s = max(map(self._score, pieces(w)))
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[w] = s
@@ -216,7 +238,7 @@ def train(reviewed: list[tuple[int, bool, list[str]]]) -> tuple[bytes, bytes, fl
             score.update({(i, w): s.window(w) for i, ws in (*toxic.items(), *clean.items()) if fold[i] == f for w in ws})
         return score
 
-    best = (0.0, float("inf"), start)
+    tried: list[tuple[float, float, set[tuple[int, str]]]] = []
     first_scores = out_of_fold(start)
     for stays, alone in STAYS:
         score, chosen = first_scores, start
@@ -224,9 +246,9 @@ def train(reviewed: list[tuple[int, bool, list[str]]]) -> tuple[bytes, bytes, fl
             chosen = {(i, w) for i, ws in toxic.items() for w in ws if score[i, w] >= (stays if leans[w][0] else alone) and (leans[w][0] or (whole[w] <= 1 and not leans[w][1]))}
             score = out_of_fold(chosen)
         f1, threshold = _threshold({i: max((score[i, w] for w in ws), default=-1.0) for i, ws in (*toxic.items(), *clean.items())}, set(toxic))
-        if f1 > best[0]:
-            best = (f1, threshold, chosen)
-    _, threshold, chosen = best
+        tried.append((f1, threshold, chosen))
+    # the strictest that all but reaches the best
+    _, threshold, chosen = [t for t in tried if t[0] >= max(f1 for f1, _, _ in tried) - STRICT_SLACK][-1] if tried[0][0] > 0 else tried[0]
     a = {w for ws in clean.values() for w in ws if not (leans[w][0] and not leans[w][1])}
     return dictionary(a, ORDINARY_BYTES), dictionary({w for _, w in chosen}, TOXIC_BYTES), threshold
 
