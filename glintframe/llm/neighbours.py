@@ -308,7 +308,7 @@ def _searcher(model, k: int, min_similarity: float):
     return search
 
 
-def nearest_vectors(vectors: DataFrame, k: int, min_similarity: float, z: float = Z) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int, min_similarity: float, z: float = Z, rows_per_cell: int = C.ROWS_PER_CELL, unit_rows: int = C.UNIT_ROWS) -> DataFrame:
     """(query_id, vec_id, similarity): for each row of side 1 the at most k rows of side 0 of its index that are most similar.
 
     ``vectors`` has (index_name, dims, vec_id, side, embedding), see
@@ -316,8 +316,9 @@ def nearest_vectors(vectors: DataFrame, k: int, min_similarity: float, z: float
     at least ``min_similarity`` (below 1) count, of equal similarities the
     smaller vec_id goes first, and vectors delivered several times count as
     vectors of their own.  Vectors that aren't usable take no part.
+    ``rows_per_cell`` and ``unit_rows`` size the cells and the units of work.
     """
-    model = C.fit_cells(vectors.filter("side = 0"), extra=train_book)
+    model = C.fit_cells(vectors.filter("side = 0"), rows_per_cell=rows_per_cell, extra=train_book, unit_rows=unit_rows)
     spark = vectors.sparkSession
     schema = "query_id long, vec_id long, similarity double"
     if not model:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from glintframe.llm import bisect, cells, clusters, components, neighbours, varied
+from glintframe.llm import bisect, clusters, components, neighbours, varied
 from glintframe.llm.vectors import with_dimensions
 
 from .conftest import clustered
@@ -38,8 +38,8 @@ def good(rows, width):
     return [(i, np.asarray(v, np.float64)) for i, v in rows if v is not None and len(v) == width and all(x is not None and np.isfinite(x) for x in v) and any(v)]
 
 
-def test_nearest(spark, vector_tables, content, monkeypatch):
-    monkeypatch.setattr(cells, "ROWS_PER_CELL", 16)
+@pytest.mark.parametrize("rows_per_cell, unit_rows", [(256, 16_384), (16, 16_384), (16, 20), (60, 7)])
+def test_nearest(spark, vector_tables, content, rows_per_cell, unit_rows):
     want = set()
     for width, e, r in content.values():
         e, r = good(e, width), good(r, width)
@@ -49,7 +49,7 @@ def test_nearest(spark, vector_tables, content, monkeypatch):
         for (q, _), row in zip(r, s, strict=True):
             best = sorted((-x, i) for x, (i, _) in zip(row, e, strict=True) if x >= 0.9)[:5]
             want |= {(q, i) for _, i in best}
-    got = [(r["query_id"], r["vec_id"]) for r in neighbours.nearest_vectors(both(vector_tables(content)), 5, 0.9).collect()]
+    got = [(r["query_id"], r["vec_id"]) for r in neighbours.nearest_vectors(both(vector_tables(content)), 5, 0.9, rows_per_cell=rows_per_cell, unit_rows=unit_rows).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -140,3 +140,21 @@ def test_varied_subset_of_few(spark, vector_tables):
     v = both(vector_tables({"a": (3, [(i, [1.0, 0, 0]) for i in range(9)] + [(20, [0, 1.0, 0])], []), "b": (2, [(30, [1.0, 1.0])], [])}))
     got = {(r["index_name"], r["vec_id"]) for r in varied.varied_subset(v, 5).collect()}
     assert got == {("a", 0), ("a", 20), ("b", 30)}
+
+
+def test_table_scan_scores():
+    """A scan's score is off by no more than the bound that reranking relies on."""
+    rng = np.random.default_rng(3)
+    x = bisect.unit_rows(clustered(rng, 6, 60, 63, 0.1))
+    c = bisect.fit_leaves(x, 6, 4)
+    own = c[(x @ c.T).argmax(axis=1)]
+    book = np.frombuffer(neighbours.train_book(x, own), np.float32).reshape(-1, 16, 2)
+    r = neighbours._padded(x - own)
+    scale = np.linalg.norm(r, axis=1)
+    codes = neighbours.encode(r / scale[:, None], neighbours._padded(x), book, neighbours.eta(63))
+    assert codes.max() < 16
+    err = (r - neighbours.decode(codes, book) * scale[:, None])[:, :63]
+    assert (err**2).sum() < 0.5 * (r**2).sum()
+    plain = neighbours.encode(r / scale[:, None], neighbours._padded(x), book, 1.0)
+    along = lambda k: np.abs(((r - neighbours.decode(k, book) * scale[:, None])[:, :63] * x).sum(axis=1)).mean()
+    assert along(codes) < along(plain)
