@@ -29,8 +29,9 @@ ROWS_PER_CELL = 256
 MAX_CELLS = 8_192
 UNIT_ROWS = 16_384
 UNIT_BYTES = 24 << 20
-#: Indexes that a call may have: their centres travel to every executor.
+#: Indexes that a call may have, and bytes of the centres of all of them, which travel to every executor.
 MAX_INDEXES = 256
+CENTRE_BYTES = 64 << 20
 
 
 @dataclass
@@ -78,8 +79,8 @@ def fit_cells(
 
     Each index is fitted in a task of its own.  ``min_cosine`` is the
     compactness at which a node is split no further; ``extra`` may fit more on
-    the sample and its centres.  The result is bounded by MAX_INDEXES times
-    ``max_cells`` centres.
+    the sample and its centres.  The centres of all indexes together have at
+    most ``CENTRE_BYTES``.
     """
     counts = {r[0]: r[1] for r in vectors.groupBy("index_name").count().limit(MAX_INDEXES + 1).collect()}
     if len(counts) > MAX_INDEXES:
@@ -96,7 +97,8 @@ def fit_cells(
         if not parts:
             return pa.table({"index_name": pa.array([], pa.string()), "dims": pa.array([], pa.int32()), "centres": pa.array([], pa.binary()), "share": pa.array([], pa.binary()), "tight": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
         x = to_unit(np.vstack(parts))
-        wanted = max(1, min(max_cells, counts[name] // rows_per_cell, len(x)))
+        bound = CENTRE_BYTES // (4 * x.shape[1] * len(counts))
+        wanted = max(1, min(max_cells, bound, counts[name] // rows_per_cell, len(x)))
         centres = fit_leaves(x, wanted, 4, min_cosine)
         own = nearest(x, centres)
         count = np.bincount(own, minlength=len(centres)).astype(np.float64)
