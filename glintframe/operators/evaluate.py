@@ -177,3 +177,10 @@ def acceptance(metrics: DataFrame, minimums: DataFrame) -> DataFrame:
     """(metric, actual, minimum) of the metrics (metric, actual) that miss their minimum; missing or null ones do."""
     joined = minimums.join(metrics, "metric", "left")
     return joined.filter(F.col("actual").isNull() | F.isnan("actual") | (F.col("actual") < F.col("minimum"))).select("metric", "actual", "minimum")
+
+
+def paired(left: DataFrame, right: DataFrame, on: Sequence[str] = ("ordinal",)) -> DataFrame:
+    """Two results joined position by position; a position that only one of them has raises when it is read."""
+    a, b = left.withColumn("_a", F.lit(True)), right.withColumn("_b", F.lit(True))
+    both = a.join(b, list(on), "full_outer")
+    return both.filter(F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("the results differ in length"))).otherwise(F.lit(True))).drop("_a", "_b")

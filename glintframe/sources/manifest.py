@@ -105,3 +105,9 @@ def load(path: str | Path) -> Manifest:
         if not holds:
             raise ValueError(f"the manifest {path}: {why}")
     return m
+
+
+def require_same_pack(text: Manifest, image: Manifest) -> None:
+    """Raises unless both towers' manifests have one id and version."""
+    if text.identity != image.identity:
+        raise ValueError(f"{text.identity} and {image.identity} are different packs")

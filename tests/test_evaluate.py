@@ -122,3 +122,11 @@ def test_presence_and_unshared(spark):
     assert {r["component"]: r["state"] for r in B.presence(a, b, "component").collect()} == {"x": "missing", "y": "active", "z": "inactive"}
     f = spark.createDataFrame([("a", "p"), ("b", "p"), ("a", "q"), ("a", "q"), ("b", None)], "owner string, path string")
     assert [tuple(r) for r in B.unshared(f, "owner", "path").collect()] == [("a", "q")]
+
+
+def test_paired(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "ordinal int, l string")
+    b = spark.createDataFrame([(0, "u"), (1, "v")], "ordinal int, r string")
+    assert sorted(tuple(r) for r in E.paired(a, b).collect()) == [(0, "x", "u"), (1, "y", "v")]
+    with pytest.raises(Exception, match="differ in length"):
+        E.paired(a, b.filter("ordinal = 0")).collect()

@@ -142,6 +142,9 @@ def make_pack(folder, version="1", marker="a"):
 def test_encoders(spark, tmp_path):
     m = manifest.load(make_pack(tmp_path / "p") / manifest.FILE_NAME)
     assert m.identity == manifest.identity(tmp_path / "p" / manifest.FILE_NAME) == "test/model@1"
+    manifest.require_same_pack(m, m)
+    with pytest.raises(ValueError):
+        manifest.require_same_pack(m, manifest.load(make_pack(tmp_path / "q", "2") / manifest.FILE_NAME))
     assert encoders.OnnxTextEncoder(m)("test other test test").tolist() == [1.0, 0.0, 1.0]
     pixel = b"P3 1 1 255\n255 0 51"
     assert encoders.OnnxImageEncoder(m)(pixel).tolist() == pytest.approx([1.0, 0.0, 0.2])
