@@ -118,8 +118,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("max_copies"))
     available = spark.createDataFrame([(s, a[0], have[s]) for s, a in aims.items()], "source string, target_share double, available_tokens long")
     full = available.join(used, "source", "left").fillna(0, ["tokens", "documents", "max_copies"])
-    every = full.agg(F.sum("tokens").alias("_all"))
-    report = full.crossJoin(F.broadcast(every)).select(
+    # one row a target
+    report = full.withColumn("_all", F.sum("tokens").over(Window.partitionBy())).select(
         "source", "target_share", F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0).alias("actual_share"), "tokens", "available_tokens", "documents", "max_copies"
     )
     return mixed, report
