@@ -71,8 +71,9 @@ _SETTINGS = [
 
 def relevance_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
-    settings = spark.createDataFrame(_SETTINGS, "setting string, score_window double, min_score_prominence double, min_results int, max_results int")
-    lists = S.top_k(items, _asked(items, 20)).crossJoin(F.broadcast(settings))
+    names = (("setting", "string"), ("score_window", "double"), ("min_score_prominence", "double"), ("min_results", "int"), ("max_results", "int"))
+    settings = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(n) for v, (n, kind) in zip(row, names, strict=True)]) for row in _SETTINGS])
+    lists = S.top_k(items, _asked(items, 20)).select("*", F.inline(settings))
     return _out(relevant(lists, ["query_id", "setting"])).select("setting", "query_id", "rank", "key", "score")
 
 
