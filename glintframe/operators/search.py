@@ -141,6 +141,30 @@ def exclusion_threshold(scores: Column, precision: str = "double") -> Column:
     return F.when((n >= 4) & (high > low), F.when(end["ok"], ((end["lo"] + end["hi"]) * F.lit(0.5).cast(k)).cast(k)))
 
 
+def two_means(values: np.ndarray) -> float | None:
+    """:func:`exclusion_threshold` of an array, in float64."""
+    s = np.sort(values[np.isfinite(values)])
+    n = len(s)
+    if n < 4 or not s[3 * n // 4] > s[n // 4]:
+        return None
+    low, high = s[n // 4], s[3 * n // 4]
+    for _ in range(16):
+        cut = np.searchsorted(s, (low + high) * 0.5)
+        if cut in (0, n):
+            return None
+        means = s[:cut].mean(), s[cut:].mean()
+        moved = abs(means[0] - low) + abs(means[1] - high)
+        low, high = means
+        if moved < 1e-6:
+            break
+    return float((low + high) * 0.5)
+
+
+def _one_threshold(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    values = rows["score"].to_numpy().astype(np.float64)
+    return pa.table({"query_id": pa.array([key[0].as_py()], pa.int64()), "threshold": pa.array([two_means(values)], pa.float64())})
+
+
 def _query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[list[dict]]:
     """The query rows in blocks that may be sent to the executors, each of one width; one block is held at a time."""
     held: dict[int, list[dict]] = {}
@@ -208,7 +232,7 @@ def thresholds(scores: DataFrame, threshold_groups: int = 2_000_000) -> DataFram
     """(query_id, threshold) from one row (query_id, score) a group; see :func:`exclusion_threshold`."""
     most = scores.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     if most <= threshold_groups:
-        return scores.groupBy("query_id").agg(exclusion_threshold(F.collect_list("score")).alias("threshold"))
+        return scores.groupBy("query_id").applyInArrow(_one_threshold, "query_id long, threshold double")
     kept = checkpointed(scores.filter("score is not null and not isnan(score) and abs(score) < double('inf')"))
     state = _quartiles(kept).filter("n >= 4 and hi > lo").select("query_id", "lo", "hi", F.lit(False).alias("done"), F.lit(True).alias("ok"))
     for _ in range(16):

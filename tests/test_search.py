@@ -61,6 +61,8 @@ def test_threshold_by_sorting_and_by_aggregates(spark, limit):
                 break
         return (lo + hi) / 2
 
+    lists = df.groupBy("query_id").agg(S.exclusion_threshold(F.collect_list("score")).alias("t"))
+    assert {r[0]: r[1] for r in lists.collect() if r[1] is not None} == pytest.approx({q: t for q, t in got.items() if t is not None}, abs=1e-9)
     assert got[1] == pytest.approx(loop(values), abs=1e-9)
     assert got[2] == pytest.approx(loop(values * 2), abs=1e-9)
     assert got.get(3) is None and got.get(4) is None
