@@ -1,7 +1,8 @@
 """Bisecting k-means on unit vectors (plain numpy, one process).
 
-The tree is fitted on a bounded sample that a caller draws; the callers then
-assign *every* row to the leaves across the cluster.
+A tree is fitted on a bounded sample that a caller draws (:func:`fit_leaves`);
+the callers then assign *every* row to the leaves across the cluster.
+:func:`compact_leaves` splits all rows of one node until every leaf is compact.
 """
 
 from __future__ import annotations
@@ -73,3 +74,24 @@ def fit_leaves(x: np.ndarray, max_leaves: int, leaf_rows: float, min_cosine: flo
         offer(path + "1", rows[~side])
     leaves.extend((h[1], h[3]) for h in heap)
     return np.vstack([c for _, c in sorted(leaves, key=lambda leaf: leaf[0])])
+
+
+def compact_leaves(x: np.ndarray, min_cosine: float, iterations: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf of every row, centres): the unit rows ``x`` split until each lies within ``min_cosine`` of the centre of its leaf."""
+    own = np.zeros(len(x), np.int64)
+    centres: list[np.ndarray] = []
+    todo = [np.arange(len(x))] if len(x) else []
+    while todo:
+        rows = todo.pop()
+        part = x[rows]
+        c = _centre(part)
+        cos = part @ c
+        if len(rows) < 2 or cos.min() >= min(min_cosine + 1e-6, 1 - 1e-6):
+            own[rows] = len(centres)
+            centres.append(c)
+            continue
+        side = _two_means(part, iterations)
+        if side.all() or not side.any():
+            side = np.arange(len(rows)) == cos.argmin()
+        todo += [rows[~side], rows[side]]
+    return own, np.array(centres, np.float32).reshape(-1, x.shape[1])

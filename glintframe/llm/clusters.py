@@ -1,10 +1,11 @@
 """Similarity clusters: leaves of a bisecting k-means tree, and the groups that links within and between leaves make.
 
-The tree splits its node of the largest dispersion until the leaves are
-compact (``COMPACT``) or their number is reached.  Leaves, their sizes and
-their centre-nearest members are a result of their own
-(:func:`leaf_members`, :func:`describe_leaves`).  :func:`linked_groups`
-adds an exact check to the leaves: members of a leaf within half the link
+The first levels of the tree split the node of the largest dispersion of a
+sample, until the leaves are compact (``COMPACT``) or their number is reached.
+:func:`leaf_members` goes on from there over all rows until every row lies
+within ``COMPACT`` of the centre of its leaf; these leaves, their sizes and
+their centre-nearest members (:func:`describe_leaves`) are a result of their
+own.  :func:`linked_groups` takes the first levels as cells and adds an exact check to the leaves: members of a leaf within half the link
 angle of its centre are all linked with each other (triangle inequality); all
 other pairs within a leaf, and between a leaf and the vectors near it, are
 compared.  A leaf of any size that is compact needs no pair at all.
@@ -21,19 +22,21 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import checkpointed
 from . import cells as C
-from .bisect import unit_rows
+from .bisect import compact_leaves, unit_rows
 from .components import connected_components, roots, unite
 from .neighbours import _routed
-from .vectors import from_binary, usable_rows
+from .vectors import as_binary, from_binary, usable_rows
 
 #: Least cosine to the centre at which a leaf counts as compact.
 COMPACT = 0.95
-#: Rows for each leaf that an index may be split into.
+#: Rows for each leaf of the first levels.
 ROWS_PER_LEAF = 64
 UNIT_ROWS = 65_536
 Z = 3.0
 _EDGE = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _MARGIN = 4e-6
+#: Bits of a leaf's number within its node.
+_LEAF_BITS = 32
 _LABEL, _LINK = 0, 1
 
 
@@ -265,13 +268,38 @@ def linked_groups(vectors: DataFrame, min_similarity: float, min_size: int, z: f
     return member.join(groups, "group").filter("vec_id <> first_vec_id").select("first_vec_id", "vec_id")
 
 
+_NODE = "index_name string, node long, vec_id long, similarity double, vec binary"
+_LEAF = "index_name string, leaf long, vec_id long, similarity double"
+
+
+def _at_nodes(name: str, ids: np.ndarray, raw: np.ndarray, base: int, centres: np.ndarray) -> pa.RecordBatch:
+    """The rows at the nearest of the nodes numbered from ``base``."""
+    x = unit_rows(raw)
+    node = C.nearest(x, centres)
+    cos = np.einsum("ij,ij->i", x.astype(np.float64), centres[node].astype(np.float64))
+    return pa.record_batch([pa.array([name] * len(ids)), pa.array(base + node), pa.array(ids), pa.array(cos), as_binary(raw)], names=["index_name", "node", "vec_id", "similarity", "vec"])
+
+
+def _refine(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """All rows of a node at its compact leaves."""
+    rows = rows.sort_by("vec_id").combine_chunks()
+    vec = rows["vec"].combine_chunks()
+    x = unit_rows(from_binary(vec, len(vec[0].as_py()) // 4))
+    own, centres = compact_leaves(x, COMPACT)
+    cos = np.einsum("ij,ij->i", x.astype(np.float64), centres[own].astype(np.float64))
+    return pa.table({"index_name": rows["index_name"], "leaf": (key[1].as_py() << _LEAF_BITS) + own, "vec_id": rows["vec_id"], "similarity": cos})
+
+
 def leaf_members(vectors: DataFrame, model: dict[str, C.Cells] | None = None) -> DataFrame:
-    """(index_name, leaf, vec_id, similarity) of every usable vector: its leaf and its cosine to the leaf's centre."""
+    """(index_name, leaf, vec_id, similarity) of every usable vector: its leaf and its cosine to the leaf's centre, at least ``COMPACT``.
+
+    A node of the first levels whose rows all lie within ``COMPACT`` is a
+    leaf.  Any other is split further in a task that holds all its rows.
+    """
     spark = vectors.sparkSession
     model = fit_leaves(vectors) if model is None else model
-    schema = "index_name string, leaf int, vec_id long, similarity double"
     if not model:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _LEAF)
     shared = spark.sparkContext.broadcast(model)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,14 +307,14 @@ def leaf_members(vectors: DataFrame, model: dict[str, C.Cells] | None = None) ->
             ids = batch["vec_id"].to_numpy()
             for name, rows, raw in usable_rows(batch):
                 cells = shared.value.get(name)
-                if cells is None:
-                    continue
-                x = unit_rows(raw)
-                home = C.nearest(x, cells.centres)
-                cos = np.einsum("ij,ij->i", x.astype(np.float64), cells.centres[home].astype(np.float64))
-                yield pa.record_batch([pa.array([name] * len(rows)), pa.array(home.astype(np.int32)), pa.array(ids[rows]), pa.array(cos)], names=["index_name", "leaf", "vec_id", "similarity"])
+                if cells is not None:
+                    yield _at_nodes(name, ids[rows], raw, 0, cells.centres)
 
-    return vectors.mapInArrow(assign, schema)
+    placed = checkpointed(vectors.mapInArrow(assign, _NODE))
+    nodes = checkpointed(placed.groupBy("index_name", "node").agg(F.count_if(F.col("similarity") < COMPACT).alias("far")))
+    at = placed.join(F.broadcast(nodes), ["index_name", "node"])
+    compact = at.filter("far = 0").select("index_name", F.shiftleft("node", _LEAF_BITS).alias("leaf"), "vec_id", "similarity")
+    return compact.unionByName(at.filter("far > 0").select(*placed.columns).groupBy("index_name", "node").applyInArrow(_refine, _LEAF))
 
 
 def describe_leaves(members: DataFrame, typical: int) -> DataFrame:
@@ -294,6 +322,7 @@ def describe_leaves(members: DataFrame, typical: int) -> DataFrame:
 
     Of equal similarities the smaller vec_id goes first.
     """
+    members = checkpointed(members)
     near = Window.partitionBy("index_name", "leaf").orderBy(F.desc("similarity"), "vec_id")
     best = members.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= typical)
     sizes = members.groupBy("index_name", "leaf").agg(F.count(F.lit(1)).alias("size"))

@@ -111,6 +111,21 @@ def test_leaves_are_compact():
     assert bisect.fit_leaves(np.zeros((0, 3), np.float32), 4, 1).shape == (0, 3)
 
 
+def test_every_leaf_is_compact(spark, vector_tables):
+    """More kinds than first-level leaves."""
+    x = np.vstack([clustered(np.random.default_rng(5), 90, 3, 24, 0.01), np.tile(clustered(np.random.default_rng(6), 1, 1, 24, 0), (60, 1))])
+    rows = clusters.leaf_members(both(vector_tables({"a": (24, list(enumerate(x)), [])}))).collect()
+    assert sorted(r["vec_id"] for r in rows) == list(range(330))
+    assert min(r["similarity"] for r in rows) >= 0.95
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r["leaf"], set()).add(min(r["vec_id"] // 3, 90))
+    assert all(len(k) == 1 for k in kinds.values()) and len(kinds) >= 91
+    for leaf in kinds:
+        own = unit(x[[r["vec_id"] for r in rows if r["leaf"] == leaf]])
+        assert (own @ own.sum(axis=0) / np.linalg.norm(own.sum(axis=0))).min() >= 0.95
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2300)]
