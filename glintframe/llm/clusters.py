@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..operators.durable import checkpointed
 from . import cells as C
 from .bisect import compact_leaves, unit_rows
+from .bisect import fit_leaves as bisecting
 from .components import connected_components, roots, unite
 from .neighbours import _routed
 from .vectors import as_binary, from_binary, usable_rows
@@ -35,8 +36,9 @@ UNIT_ROWS = 65_536
 Z = 3.0
 _EDGE = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _MARGIN = 4e-6
-#: Bits of a leaf's number within its node.
-_LEAF_BITS = 32
+#: Most nodes that one pass makes of a node too large for a task, and bits of a leaf's number within its node.
+PASS_NODES = 64
+_LEAF_BITS = 16
 _LABEL, _LINK = 0, 1
 
 
@@ -290,11 +292,33 @@ def _refine(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"index_name": rows["index_name"], "leaf": (key[1].as_py() << _LEAF_BITS) + own, "vec_id": rows["vec_id"], "similarity": cos})
 
 
+def _split_wide(at: DataFrame, turn: int) -> dict[tuple[str, int], np.ndarray]:
+    """Centres for every node of ``at``, fitted on a sample of which half are rows outside ``COMPACT``, where there are so many."""
+    near = F.col("similarity") >= COMPACT
+    half = F.least(F.lit(C.SAMPLE_ROWS), F.floor(F.lit(C.SAMPLE_BYTES) / F.octet_length("vec"))) / 2
+    share = half / F.when(near, F.col("n") - F.col("far")).otherwise(F.col("far"))
+    sample = at.filter(F.pmod(F.xxhash64("vec_id", F.lit(turn)), F.lit(1 << 30)) < share * (1 << 30))
+
+    def fit(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vec_id").combine_chunks()
+        vec = rows["vec"].combine_chunks()
+        x = unit_rows(from_binary(vec, len(vec[0].as_py()) // 4))
+        wanted = int(min(PASS_NODES, max(2, -(-2 * rows["n"][0].as_py() // rows["most"][0].as_py()))))
+        centres = bisecting(x, wanted, 1, COMPACT)
+        if len(centres) < 2:
+            centres = bisecting(x, 2, 1)
+        return pa.table({"index_name": [key[0].as_py()], "node": [key[1].as_py()], "dims": [x.shape[1]], "centres": [centres.tobytes()]})
+
+    fitted = sample.groupBy("index_name", "node").applyInArrow(fit, "index_name string, node long, dims long, centres binary").collect()
+    return {(r["index_name"], r["node"]): np.frombuffer(r["centres"], np.float32).reshape(-1, r["dims"]) for r in fitted}
+
+
 def leaf_members(vectors: DataFrame, model: dict[str, C.Cells] | None = None) -> DataFrame:
     """(index_name, leaf, vec_id, similarity) of every usable vector: its leaf and its cosine to the leaf's centre, at least ``COMPACT``.
 
     A node of the first levels whose rows all lie within ``COMPACT`` is a
-    leaf.  Any other is split further in a task that holds all its rows.
+    leaf.  Any other is split further in a task that holds all its rows; one
+    too large for a task is first split by passes over all its rows.
     """
     spark = vectors.sparkSession
     model = fit_leaves(vectors) if model is None else model
@@ -310,11 +334,41 @@ def leaf_members(vectors: DataFrame, model: dict[str, C.Cells] | None = None) ->
                 if cells is not None:
                     yield _at_nodes(name, ids[rows], raw, 0, cells.centres)
 
-    placed = checkpointed(vectors.mapInArrow(assign, _NODE))
-    nodes = checkpointed(placed.groupBy("index_name", "node").agg(F.count_if(F.col("similarity") < COMPACT).alias("far")))
-    at = placed.join(F.broadcast(nodes), ["index_name", "node"])
-    compact = at.filter("far = 0").select("index_name", F.shiftleft("node", _LEAF_BITS).alias("leaf"), "vec_id", "similarity")
-    return compact.unionByName(at.filter("far > 0").select(*placed.columns).groupBy("index_name", "node").applyInArrow(_refine, _LEAF))
+    def assign_again(nodes):
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names, at = np.array(batch["index_name"].to_pylist(), object), batch["node"].to_numpy()
+                for name, node in sorted(set(zip(names.tolist(), at.tolist(), strict=True))):
+                    base, centres = nodes.value[name, node]
+                    rows = np.flatnonzero((names == name) & (at == node))
+                    raw = from_binary(batch["vec"].take(pa.array(rows)), centres.shape[1])
+                    yield _at_nodes(name, batch["vec_id"].to_numpy()[rows], raw, base, centres)
+
+        return assign
+
+    free = {name: len(c.centres) for name, c in model.items()}
+    placed, out, turn = vectors.mapInArrow(assign, _NODE), [], 0
+    while placed is not None:
+        placed = checkpointed(placed)
+        most = F.greatest(F.lit(1), F.least(F.lit(UNIT_ROWS), F.floor(F.lit(C.UNIT_BYTES) / F.max(F.octet_length("vec")))))
+        nodes = placed.groupBy("index_name", "node").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("similarity") < COMPACT).alias("far"), most.alias("most"))
+        nodes = checkpointed(nodes)
+        at = placed.join(F.broadcast(nodes), ["index_name", "node"])
+        out.append(at.filter("far = 0").select("index_name", F.shiftleft("node", _LEAF_BITS).alias("leaf"), "vec_id", "similarity"))
+        out.append(at.filter("far > 0 and n <= most").select(*placed.columns).groupBy("index_name", "node").applyInArrow(_refine, _LEAF))
+        wide, placed = "far > 0 and n > most", None
+        if not nodes.filter(wide).isEmpty():
+            split = _split_wide(at.filter(wide), turn)
+            further = {}
+            for (name, node), centres in sorted(split.items()):
+                further[name, node] = free[name], centres
+                free[name] += len(centres)
+            placed = at.filter(wide).select("index_name", "node", "vec_id", "similarity", "vec").mapInArrow(assign_again(spark.sparkContext.broadcast(further)), _NODE)
+            turn += 1
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def describe_leaves(members: DataFrame, typical: int) -> DataFrame:

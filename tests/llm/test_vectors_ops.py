@@ -111,8 +111,11 @@ def test_leaves_are_compact():
     assert bisect.fit_leaves(np.zeros((0, 3), np.float32), 4, 1).shape == (0, 3)
 
 
-def test_every_leaf_is_compact(spark, vector_tables):
-    """More kinds than first-level leaves."""
+@pytest.mark.parametrize("unit_rows", [65_536, 20])
+def test_every_leaf_is_compact(spark, vector_tables, monkeypatch, unit_rows):
+    """More kinds than first-level leaves, fitted on a sample that misses most of them."""
+    monkeypatch.setattr(clusters, "UNIT_ROWS", unit_rows)
+    monkeypatch.setattr(clusters.C, "SAMPLE_ROWS", 40)
     x = np.vstack([clustered(np.random.default_rng(5), 90, 3, 24, 0.01), np.tile(clustered(np.random.default_rng(6), 1, 1, 24, 0), (60, 1))])
     rows = clusters.leaf_members(both(vector_tables({"a": (24, list(enumerate(x)), [])}))).collect()
     assert sorted(r["vec_id"] for r in rows) == list(range(330))
