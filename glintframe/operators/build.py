@@ -21,19 +21,20 @@ def fingerprint_map(entries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return entries.groupBy(*by, "key").agg(F.max(F.struct("position", "fingerprint")).alias("_l")).select(*by, "key", F.col("_l.fingerprint").alias("fingerprint"))
 
 
-def plan_reuse(catalog: DataFrame, cached: DataFrame, by: tuple[str, ...] = (), vector: str = "embedding") -> DataFrame:
+def plan_reuse(catalog: DataFrame, cached: DataFrame, by: tuple[str, ...] = (), vector: str = "embedding", own: tuple[str, ...] = ()) -> DataFrame:
     """The catalog with the cached vector of every entry that can be reused, and ``reused``.
 
     An entry reuses the vector of a cached row with its (key, fingerprint).
     A cached row serves one entry of a build (``by``), the first by position;
     further entries with the same key and fingerprint are encoded anew.  Of
     several cached rows with one key and fingerprint the last counts.  Null
-    keys and fingerprints match nothing.
+    keys and fingerprints match nothing.  Where every build has a cache of its
+    ``own``, these columns of ``by`` name the build that a cached row is for.
     """
     turn = Window.partitionBy(*by, "key", "fingerprint").orderBy("position")
     numbered = catalog.withColumn("_turn", F.row_number().over(turn))
-    last = cached.groupBy("key", "fingerprint").agg(F.max_by(vector, "position").alias(vector)).withColumn("_turn", F.lit(1))
-    joined = numbered.join(last, ["key", "fingerprint", "_turn"], "left").drop("_turn")
+    last = cached.groupBy(*own, "key", "fingerprint").agg(F.max_by(vector, "position").alias(vector)).withColumn("_turn", F.lit(1))
+    joined = numbered.join(last, [*own, "key", "fingerprint", "_turn"], "left").drop("_turn")
     return joined.withColumn("reused", F.col(vector).isNotNull())
 
 

@@ -11,6 +11,7 @@ from ..functions.views import expand_views, view_size
 from ..operators import build as B
 from ..operators import evaluate as E
 from ..operators import requests as R
+from ..operators.snapshots import number_states
 from ..sources.tables import table
 
 
@@ -52,10 +53,12 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_build_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every listing reusing the one before it, as a builder whose cache is the last build does."""
-    rows = table(spark, sf_dir, "index_snapshot").filter("key is not null and fingerprint is not null")
-    plan = B.plan_reuse(rows.select("library", "snapshot_no", "position", "key", "fingerprint"), rows.filter("snapshot_no % 2 = 0").select("key", "fingerprint", "position", F.lit(1).alias("vector")), ("library", "snapshot_no"), "vector")
-    return B.plan_counts(plan, ("library", "snapshot_no"))
+    """Every listing reusing the one before it in its library, as a builder whose cache is the last build does."""
+    build = ("library", "snapshot_no")
+    rows = table(spark, sf_dir, "index_snapshot").filter("key is not null and fingerprint is not null").select(*build, "position", "key", "fingerprint")
+    following = number_states(rows.select(*build).distinct()).filter("next_no is not null").select(*build, "next_no")
+    before = rows.join(following, list(build)).select("library", F.col("next_no").alias("snapshot_no"), "key", "fingerprint", "position", F.lit(1).alias("vector"))
+    return B.plan_counts(B.plan_reuse(rows, before, build, "vector", own=build), build)
 
 
 def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

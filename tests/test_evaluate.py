@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from glintframe.functions import tags as T
 from glintframe.operators import build as B
 from glintframe.operators import evaluate as E
+from glintframe.plans import catalogs
 
 
 def test_tag_predicates(spark):
@@ -104,6 +105,14 @@ def test_build(spark):
         B.build_index(catalog, cached, lambda m: m.withColumn("embedding", F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>")).withColumn("error", F.lit(None).cast("string")), 2)[0].collect()
 
 
+def test_a_listing_reuses_the_one_before_it(spark, tmp_path):
+    rows = [("a", 1, 0, "x", "1"), ("a", 1, 1, "y", "1"), ("a", 4, 0, "x", "1"), ("a", 4, 1, "x", "1"), ("a", 4, 2, "y", "2"), ("a", 7, 0, "y", "1"), ("a", 7, 1, "y", "2"), ("b", 2, 0, "x", "1"), ("b", 3, 0, "x", "1"), ("b", 3, 1, None, "1")]
+    spark.createDataFrame(rows, "library string, snapshot_no long, position int, key string, fingerprint string").write.parquet(str(tmp_path / "index_snapshot.parquet"))
+    found = catalogs.incremental_build_snapshots(spark, str(tmp_path)).select("library", "snapshot_no", "total", "reused", "missing", "keys")
+    # the repeated x of a4 is encoded anew; a7 finds y/2 only, as y/1 is two listings back; b2 has no predecessor
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 2, 0, 2, 2), ("a", 4, 3, 1, 2, 2), ("a", 7, 2, 1, 1, 1), ("b", 2, 1, 0, 1, 1), ("b", 3, 1, 1, 0, 1)]
+
+
 def test_pool(spark):
     items = spark.createDataFrame([(k,) for k in ("c", "anchor", "a", "b", None, "a")], "key string")
     anchors = items.filter("key = 'anchor'")
