@@ -116,8 +116,11 @@ def tag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All anchors in a pool of 500; where these are more than 500, in a pool of five times their number."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"))
-    return B.deterministic_pool(docs, docs.filter("key like '%00'"), 500)
+    anchors = docs.filter("key like '%00'")
+    n = anchors.distinct().count()
+    return B.deterministic_pool(docs, anchors, 500 if n <= 500 else 5 * n)
 
 
 def shared_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,13 @@ def test_a_listing_reuses_the_one_before_it(spark, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == [("a", 1, 2, 0, 2, 2), ("a", 4, 3, 1, 2, 2), ("a", 7, 2, 1, 1, 1), ("b", 2, 1, 0, 1, 1), ("b", 3, 1, 1, 0, 1)]
 
 
+@pytest.mark.parametrize("documents, anchors, others", [(50_000, 500, 0), (60_000, 600, 2400)])
+def test_pool_of_many_documents(spark, tmp_path, documents, anchors, others):
+    spark.range(1, documents + 1).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    found = dict(catalogs.pool(spark, str(tmp_path)).groupBy("is_anchor").count().collect())
+    assert (found[True], found.get(False, 0)) == (anchors, others)
+
+
 def test_pool(spark):
     items = spark.createDataFrame([(k,) for k in ("c", "anchor", "a", "b", None, "a")], "key string")
     anchors = items.filter("key = 'anchor'")
