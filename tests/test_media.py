@@ -22,6 +22,15 @@ def test_views_and_grids(spark):
     assert [views.patch_grid(h, w, 16, 256) for h, w in sizes] == grids
     df = spark.createDataFrame([*sizes, (0, 1)], "h int, w int").select(views.patch_grid_column(F.col("h"), F.col("w"), 16, 256).alias("g"))
     assert [tuple(r["g"]) if r["g"] else None for r in df.collect()] == [*grids, None]
+    # of every step of the scales the last one whose grid fits
+    odd = [(1, 1, 16, 1), (7, 3000, 14, 100), (5000, 5000, 16, 1), (33, 64, 32, 12), (2, 3, 16, 5)]
+    for h, w, patch, most in odd:
+        side = lambda k, size: np.maximum(1, np.ceil(size * (1e-6 + k * ((100.0 - 1e-6) / 2**24)) / patch))  # noqa: B023, E731
+        k = np.arange(2**24)
+        last = np.flatnonzero(side(k, h) * side(k, w) <= most)[-1]
+        assert views.patch_grid(h, w, patch, most) == (side(last, h), side(last, w))
+        found = spark.createDataFrame([(h, w)], "h int, w int").select(views.patch_grid_column(F.col("h"), F.col("w"), patch, most).alias("g")).first()["g"]
+        assert tuple(found) == (side(last, h), side(last, w))
     with pytest.raises(ValueError):
         views.patch_grid(0, 1, 16, 256)
     pics = spark.createDataFrame([("static:wide", 600, 100), ("static:plain", 160, 90), ("live:wide", 600, 100)], "key string, width int, height int")
