@@ -111,10 +111,12 @@ def test_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"anchors": [{"id": "1", "key": "k", "queries": ["x", "y"]}]}))
     assert D.read_anchors(spark, str(tmp_path / "a.json")).count() == 2
     D.write_document(tmp_path / "e.json", {"queries": ["a", {"text": "b"}], "acceptance": {"m": 1}})
-    assert D.evaluation_corpus(tmp_path / "e.json") == (["a", "b"], {"m": 1.0})
-    D.write_document(tmp_path / "e.json", {"queries": ["a", "a"]}, pretty=True)
-    with pytest.raises(ValueError):
-        D.evaluation_corpus(tmp_path / "e.json")
+    queries, least = D.read_held_out(spark, str(tmp_path / "e.json"))
+    assert [tuple(r) for r in queries.orderBy("position").collect()] == [(0, "a"), (1, "b")] and least == {"m": 1.0}
+    for broken in ({"queries": ["a", "a"]}, {"queries": []}, {"queries": ["a", {"no": "text"}]}):
+        D.write_document(tmp_path / "e.json", broken, pretty=True)
+        with pytest.raises(ValueError):
+            D.read_held_out(spark, str(tmp_path / "e.json"))
     D.write_lines(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).first()[0] == '{"a":1}'
     told = []
