@@ -39,14 +39,22 @@ def with_error(requests: DataFrame) -> DataFrame:
     )
 
 
-def with_defaults(requests: DataFrame) -> DataFrame:
-    """Null settings replaced: weight 0.5, no minimum of results, not embedding-only; a blank negative query becomes null."""
+def with_defaults(requests: DataFrame, lower_case: bool = False) -> DataFrame:
+    """Null settings replaced: weight 0.5, no minimum of results, not embedding-only; a blank negative query becomes null.
+
+    A weight that isn't a number becomes null, and ``weight_is_number`` false.
+    With ``lower_case`` the query and the negative query are put into lower
+    case, as models trained on such text want them.
+    """
+    case = F.lower if lower_case else F.col
     return requests.withColumns(
         {
-            "negative_weight": F.coalesce("negative_weight", F.lit(DEFAULT_NEGATIVE_WEIGHT).cast("float")),
+            "negative_weight": F.when(~F.isnan("negative_weight") | F.col("negative_weight").isNull(), F.coalesce("negative_weight", F.lit(DEFAULT_NEGATIVE_WEIGHT).cast("float"))),
+            "weight_is_number": ~F.isnan(F.coalesce("negative_weight", F.lit(0).cast("float"))),
             "min_results": F.coalesce("min_results", F.lit(0).cast("long")),
             "embedding_only": F.coalesce("embedding_only", F.lit(False)),
-            "negative_query": F.when(~_blank("negative_query"), F.col("negative_query")),
+            "negative_query": F.when(~_blank("negative_query"), case("negative_query")),
+            "query": case("query"),
         }
     )
 

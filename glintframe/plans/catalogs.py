@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags as T
@@ -66,8 +66,8 @@ def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.with_defaults(table(spark, sf_dir, "search_request")).select(
-        "request_id", F.round(F.col("negative_weight").cast("double"), 6).alias("negative_weight"), "min_results", "embedding_only", "negative_query", F.lower("query").alias("query")
+    return R.with_defaults(table(spark, sf_dir, "search_request"), lower_case=True).select(
+        "request_id", F.round(F.col("negative_weight").cast("double"), 6).alias("negative_weight"), "weight_is_number", "min_results", "embedding_only", "negative_query", "query"
     )
 
 
@@ -82,8 +82,6 @@ def response_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latencies of every index: both kinds of percentile, and the mean without the first response."""
-    from pyspark.sql import Window
-
     r = table(spark, sf_dir, "search_response").filter("query_ms is not null and not isnan(query_ms)")
     numbered = r.withColumn("n", F.row_number().over(Window.partitionBy("index_name").orderBy("vec_id")))
     found = numbered.groupBy("index_name").agg(
@@ -107,9 +105,10 @@ def tag_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag queries: a generation's matches as results, the keys of its own first half as relevant."""
+    """Tag queries: a generation's matches as results, in the order of their ranks and keys, the keys of its matches of even id as relevant."""
     m = table(spark, sf_dir, "search_match").filter("generation is not null and key is not null and rank is not null")
-    ranked = m.groupBy("generation", "rank").agg(F.min("key").alias("key")).withColumnRenamed("generation", "query")
+    own = m.groupBy(F.col("generation").alias("query"), "key").agg(F.min("rank").alias("rank"))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank", "key")))
     wanted = m.filter("match_id % 2 = 0").select(F.col("generation").alias("query"), "key").distinct()
     found = E.tag_metrics(ranked, wanted)
     return found.select("query", "relevant", *[F.round(c, 6).alias(c) for c in ("precision_at_1", "hit_at_5", "precision_at_5", "average_precision", "ndcg")])
@@ -159,12 +158,12 @@ _BLANK = "({c} IS NULL OR NOT regexp_matches({c}, '[^\\s\\pZ\\x{{0B}}\\x{{85}}]'
 _BAD = "({c} IS NOT NULL AND (isnan({c}) OR isinf({c}) OR {c} < 0))"
 
 
-def _reuse_sql(catalog: str, cached: str, by: str) -> str:
+def _reuse_sql(catalog: str, cached: str, by: str, own: str = "") -> str:
     return f"""
 WITH catalog AS ({catalog}), turned AS (SELECT *, row_number() OVER (PARTITION BY {by}, key, fingerprint ORDER BY position) AS turn FROM catalog),
-cache AS (SELECT DISTINCT key, fingerprint FROM ({cached}))
-SELECT {by}, count(*) AS total, count(c.key) AS reused, count(*) - count(c.key) AS missing, count(DISTINCT t.key) AS keys
-FROM turned t LEFT JOIN cache c ON t.key = c.key AND t.fingerprint = c.fingerprint AND t.turn = 1 GROUP BY {by}"""
+cache AS (SELECT DISTINCT * FROM ({cached}))
+SELECT {", ".join("t." + c.strip() for c in by.split(","))}, count(*) AS total, count(c.key) AS reused, count(*) - count(c.key) AS missing, count(DISTINCT t.key) AS keys
+FROM turned t LEFT JOIN cache c ON t.key = c.key AND t.fingerprint = c.fingerprint AND t.turn = 1{own} GROUP BY {", ".join("t." + c.strip() for c in by.split(","))}"""
 
 
 QUERIES = {
@@ -190,7 +189,10 @@ SQL = {
     "incremental_build": _reuse_sql(f"SELECT build_id, position, e.key AS key, e.fingerprint AS fingerprint FROM {_ENTRY} WHERE e IS NOT NULL", "SELECT key, fingerprint FROM index_entry WHERE embedding IS NOT NULL", "build_id"),
     "incremental_build_snapshots": _reuse_sql(
         "SELECT library, snapshot_no, position, key, fingerprint FROM index_snapshot WHERE key IS NOT NULL AND fingerprint IS NOT NULL",
-        "SELECT key, fingerprint FROM index_snapshot WHERE key IS NOT NULL AND fingerprint IS NOT NULL AND snapshot_no % 2 = 0", "library, snapshot_no"),
+        "SELECT s.library, n.next_no, s.key, s.fingerprint FROM index_snapshot s JOIN (SELECT library, snapshot_no, lead(snapshot_no) OVER (PARTITION BY library ORDER BY snapshot_no) AS next_no "
+        "FROM (SELECT DISTINCT library, snapshot_no FROM index_snapshot WHERE library IS NOT NULL AND snapshot_no IS NOT NULL AND key IS NOT NULL AND fingerprint IS NOT NULL)) n "
+        "ON s.library = n.library AND s.snapshot_no = n.snapshot_no WHERE s.key IS NOT NULL AND s.fingerprint IS NOT NULL AND n.next_no IS NOT NULL",
+        "library, snapshot_no", " AND t.library = c.library AND t.snapshot_no = c.next_no"),
     "request_errors": f"""
         SELECT request_id, CASE WHEN {_BLANK.format(c='query')} THEN 'query must not be empty'
           WHEN coalesce(embedding_only, false) THEN NULL
@@ -198,8 +200,9 @@ SQL = {
           WHEN {_BAD.format(c='score_window')} THEN 'invalid score window' WHEN {_BAD.format(c='min_score_prominence')} THEN 'invalid minimum score prominence'
           WHEN max_results <= 0 THEN 'invalid maximum result count' END AS error FROM search_request""",
     "request_settings": f"""
-        SELECT request_id, round(coalesce(negative_weight, 0.5::FLOAT)::DOUBLE, 6) AS negative_weight, coalesce(min_results, 0) AS min_results, coalesce(embedding_only, false) AS embedding_only,
-          CASE WHEN NOT {_BLANK.format(c='negative_query')} THEN negative_query END AS negative_query, lower(query) AS query FROM search_request""",
+        SELECT request_id, CASE WHEN NOT coalesce(isnan(negative_weight), false) THEN round(coalesce(negative_weight, 0.5::FLOAT)::DOUBLE, 6) END AS negative_weight,
+          NOT coalesce(isnan(negative_weight), false) AS weight_is_number, coalesce(min_results, 0) AS min_results, coalesce(embedding_only, false) AS embedding_only,
+          CASE WHEN NOT {_BLANK.format(c='negative_query')} THEN lower(negative_query) END AS negative_query, lower(query) AS query FROM search_request""",
     "latest_generation": "SELECT client, max(generation) AS generation FROM search_request GROUP BY client",
     "response_lists": "SELECT generation, count(*) AS n, list(key ORDER BY rank, key, score) AS keys FROM search_match WHERE generation IS NOT NULL AND key IS NOT NULL AND rank IS NOT NULL GROUP BY generation",
     "latency_summary": """
@@ -212,7 +215,7 @@ SQL = {
           SELECT p_partkey, list_contains(t, 'brass') AND list_has_any(t, ['large', 'small', 'economy']) AS required, list_contains(t, 'plated') AS forbidden
           FROM (SELECT p_partkey, string_split(lower(p_type), ' ') AS t FROM part))""",
     "tag_metrics": """
-        WITH m AS (SELECT * FROM search_match WHERE generation IS NOT NULL AND key IS NOT NULL AND rank IS NOT NULL), ranked AS (SELECT generation AS query, rank, min(key) AS key FROM m GROUP BY ALL),
+        WITH m AS (SELECT * FROM search_match WHERE generation IS NOT NULL AND key IS NOT NULL AND rank IS NOT NULL), ranked AS (SELECT query, key, row_number() OVER (PARTITION BY query ORDER BY best, key) AS rank FROM (SELECT generation AS query, key, min(rank) AS best FROM m GROUP BY ALL)),
         wanted AS (SELECT DISTINCT generation AS query, key FROM m WHERE match_id % 2 = 0), n AS (SELECT query, count(*) AS relevant FROM wanted GROUP BY query),
         h AS (SELECT r.query, r.rank, (w.key IS NOT NULL)::INT AS hit, sum((w.key IS NOT NULL)::INT) OVER (PARTITION BY r.query ORDER BY r.rank) AS found FROM ranked r LEFT JOIN wanted w ON r.query = w.query AND r.key = w.key WHERE r.rank <= 10)
         SELECT h.query, coalesce(any_value(n.relevant), 0) AS relevant, round(max(CASE WHEN rank = 1 THEN hit END)::DOUBLE, 6) AS precision_at_1, round(max(CASE WHEN rank <= 5 THEN hit END)::DOUBLE, 6) AS hit_at_5,
@@ -223,7 +226,7 @@ SQL = {
     "pool": """
         WITH k AS (SELECT DISTINCT doc_id::VARCHAR AS key FROM documents), a AS (SELECT key FROM k WHERE key LIKE '%00')
         SELECT key, true AS is_anchor FROM a UNION ALL
-        (SELECT key, false FROM k WHERE key NOT LIKE '%00' ORDER BY sha256(key), key LIMIT (SELECT 500 - count(*) FROM a))""",
+        (SELECT key, false FROM k WHERE key NOT LIKE '%00' ORDER BY sha256(key), key LIMIT (SELECT CASE WHEN count(*) <= 500 THEN 500 - count(*) ELSE 4 * count(*) END FROM a))""",
     "shared_paths": f"SELECT any_value(library) AS library, path FROM (SELECT DISTINCT library, e.path AS path FROM {_ENTRY} WHERE e.path IS NOT NULL) GROUP BY path HAVING count(*) = 1",
     "leaked_queries": "SELECT query FROM search_request WHERE query IS NOT NULL AND coalesce(embedding_only, false) INTERSECT SELECT query FROM search_request WHERE query IS NOT NULL AND NOT coalesce(embedding_only, false)",
     "prompt_grammar": """

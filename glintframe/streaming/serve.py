@@ -32,7 +32,7 @@ def answer(requests: DataFrame, index: DataFrame, encoder: Callable[[], TextEnco
     """
     if "_corrupt" not in requests.columns:
         requests = requests.withColumn("_corrupt", F.lit(None).cast("string"))
-    numbered = with_error(with_defaults(requests.withColumn("request_no", F.monotonically_increasing_id())))
+    numbered = with_defaults(with_error(requests.withColumn("request_no", F.monotonically_increasing_id())))
     error = F.when(F.col("_corrupt").isNotNull(), F.lit("the request can't be read")).otherwise(F.col("error"))
     from ..operators.durable import checkpointed
 

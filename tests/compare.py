@@ -22,7 +22,9 @@ def plain(v):
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(plain(x) for x in v) + "]"
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 9) + 0.0)
+        # not a number equals nothing, so no result may have it
+        assert not math.isnan(v)
+        return repr(round(v, 9) + 0.0)
     if isinstance(v, decimal.Decimal):
         return str(int(v)) if v == v.to_integral_value() else repr(float(v))
     if isinstance(v, datetime.datetime):
