@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bisect import fit_leaves
 from .bisect import unit_rows as to_unit
-from .vectors import usable_rows
+from .vectors import only_usable, usable_rows
 
 SAMPLE_ROWS = 65_536
 SAMPLE_BYTES = 48 << 20
@@ -74,22 +74,27 @@ def fit_cells(
     max_cells: int = MAX_CELLS,
     extra: Callable[[np.ndarray, np.ndarray], bytes] | None = None,
     unit_rows: int = UNIT_ROWS,
+    cells_of: Callable[[int], int] | None = None,
+    sample_rows: Callable[[int], int] | None = None,
 ) -> dict[str, Cells]:
-    """The cells of every index of ``vectors`` (index_name, dims, vec_id, embedding).
+    """The cells of every index of ``vectors`` (index_name, dims, vec_id, embedding) that has a usable row.
 
     Each index is fitted in a task of its own.  ``min_cosine`` is the
     compactness at which a node is split no further; ``extra`` may fit more on
-    the sample and its centres.  The centres of all indexes together have at
-    most ``CENTRE_BYTES``.
+    the sample and its centres.  ``cells_of`` and ``sample_rows`` give the
+    wanted cells and sampled rows of an index of so many rows, in place of one
+    cell for ``rows_per_cell`` rows and of ``SAMPLE_ROWS``.  The centres of
+    all indexes together have at most ``CENTRE_BYTES``.
     """
     counts = {r[0]: r[1] for r in vectors.groupBy("index_name").count().limit(MAX_INDEXES + 1).collect()}
     if len(counts) > MAX_INDEXES:
         raise ValueError(f"more than {MAX_INDEXES} indexes in one call")
     if not counts:
         return {}
-    most = F.least(F.lit(SAMPLE_ROWS), F.floor(F.lit(SAMPLE_BYTES) / (4 * F.col("dims"))).cast("int"))
-    total = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("index_name"))
-    sample = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < most / total * (1 << 30))
+    by_name = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("index_name"))
+    rows = by_name({k: min(SAMPLE_ROWS, sample_rows(n)) for k, n in counts.items()}) if sample_rows else F.lit(SAMPLE_ROWS)
+    most = F.least(rows, F.floor(F.lit(SAMPLE_BYTES) / (4 * F.col("dims"))).cast("int"))
+    sample = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < most / by_name(counts) * (1 << 30))
 
     def fit(key: tuple[pa.Scalar, ...], batches: pa.Table) -> pa.Table:
         parts = [m for b in batches.combine_chunks().to_batches() for _, _, m in usable_rows(b)]
@@ -98,7 +103,7 @@ def fit_cells(
             return pa.table({"index_name": pa.array([], pa.string()), "dims": pa.array([], pa.int32()), "centres": pa.array([], pa.binary()), "share": pa.array([], pa.binary()), "tight": pa.array([], pa.binary()), "extra": pa.array([], pa.binary())})
         x = to_unit(np.vstack(parts))
         bound = CENTRE_BYTES // (4 * x.shape[1] * len(counts))
-        wanted = max(1, min(max_cells, bound, counts[name] // rows_per_cell, len(x)))
+        wanted = max(1, min(max_cells, bound, cells_of(counts[name]) if cells_of else counts[name] // rows_per_cell, len(x)))
         centres = fit_leaves(x, wanted, 4, min_cosine)
         own = nearest(x, centres)
         count = np.bincount(own, minlength=len(centres)).astype(np.float64)
@@ -106,7 +111,17 @@ def fit_cells(
         more = extra(x, centres[own]) if extra else b""
         return pa.table({"index_name": [name], "dims": pa.array([x.shape[1]], pa.int32()), "centres": [centres.tobytes()], "share": [(count / len(x)).tobytes()], "tight": [tight.tobytes()], "extra": [more]})
 
-    fitted = sample.groupBy("index_name").applyInArrow(fit, "index_name string, dims int, centres binary, share binary, tight binary, extra binary").collect()
+    shape = "index_name string, dims int, centres binary, share binary, tight binary, extra binary"
+    fitted = sample.groupBy("index_name").applyInArrow(fit, shape).collect()
+    lost = sorted(set(counts) - {r["index_name"] for r in fitted})
+    if lost:
+        # the sample of these held no usable row; the rates of a second one count usable rows alone
+        usable = only_usable(vectors.filter(F.col("index_name").isin(lost)))
+        again = {r[0]: r[1] for r in usable.groupBy("index_name").count().collect()}
+        if again:
+            counts |= again
+            sample = usable.filter(F.col("index_name").isin(list(again))).filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < most / by_name(again) * (1 << 30))
+            fitted += sample.groupBy("index_name").applyInArrow(fit, shape).collect()
     out, base = {}, 0
     for k, r in enumerate(sorted(fitted, key=lambda r: r["index_name"])):
         tight = np.frombuffer(r["tight"], np.float64)

@@ -17,13 +17,33 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.unionByName(with_dimensions(table(spark, sf_dir, "search_response"), header, side=1))
 
 
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_dimensions(table(spark, sf_dir, "search_response"), table(spark, sf_dir, "index_header"))
+
+
+def _with_query(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows with the query that their response's vector was made of."""
+    asked = table(spark, sf_dir, "search_request").groupBy("generation").agg(F.min("query").alias("query"))
+    own = rows.join(table(spark, sf_dir, "search_response").select("vec_id", "generation"), "vec_id")
+    return own.join(asked, "generation", "left").drop("generation")
+
+
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable query vector with its query and the one of the 200 picks of its index that stands for it; a pick stands for itself."""
+    found = varied.represented(_asked_vectors(spark, sf_dir), k=200).withColumn("similarity", F.round("similarity", 5))
+    return _with_query(spark, sf_dir, found).select("index_name", "vec_id", "query", "pick", "pick_vec_id", "similarity")
+
+
 def p1_varied_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every index 200 query vectors that cover what was asked, in the order they were picked, with their query."""
-    answers = table(spark, sf_dir, "search_response")
-    picks = varied.varied_subset(with_dimensions(answers, table(spark, sf_dir, "index_header")), k=200)
-    asked = table(spark, sf_dir, "search_request").groupBy("generation").agg(F.min("query").alias("query"))
-    own = picks.join(answers.select("vec_id", "generation"), "vec_id")
-    return own.join(asked, "generation", "left").select("index_name", "pick", "vec_id", "query")
+    picks = varied.varied_subset(_asked_vectors(spark, sf_dir), k=200)
+    return _with_query(spark, sf_dir, picks).select("index_name", "pick", "vec_id", "query")
+
+
+def p1_varied_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a twentieth of every index's query vectors."""
+    picks = varied.varied_subset(_asked_vectors(spark, sf_dir), share=0.05)
+    return _with_query(spark, sf_dir, picks).select("index_name", "pick", "vec_id", "query")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +146,9 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_members": p1_members,
     "p1_varied_queries": p1_varied_queries,
+    "p1_varied_share": p1_varied_share,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_leaves": p3_leaves,

@@ -48,6 +48,18 @@ def usable_rows(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.nda
             yield name, rows[ok], m[ok]
 
 
+def only_usable(vectors: DataFrame) -> DataFrame:
+    """The rows of ``vectors`` whose vector is usable."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for _, r, _ in usable_rows(batch)]
+            if rows:
+                yield batch.take(pa.array(np.sort(np.concatenate(rows))))
+
+    return vectors.mapInArrow(keep, vectors.schema)
+
+
 def as_binary(m: np.ndarray) -> pa.Array:
     """Rows of a float32 matrix as a binary column."""
     m = np.ascontiguousarray(m, dtype=np.float32)

@@ -156,8 +156,42 @@ def test_varied_subset(spark, vector_tables):
 
 def test_varied_subset_of_few(spark, vector_tables):
     v = both(vector_tables({"a": (3, [(i, [1.0, 0, 0]) for i in range(9)] + [(20, [0, 1.0, 0])], []), "b": (2, [(30, [1.0, 1.0])], [])}))
-    got = {(r["index_name"], r["vec_id"]) for r in varied.varied_subset(v, 5).collect()}
-    assert got == {("a", 0), ("a", 20), ("b", 30)}
+    got = {(r["index_name"], r["pick"], r["vec_id"]) for r in varied.varied_subset(v, 5).collect()}
+    # near copies fill up what is asked for, after all others
+    assert got == {("a", 1, 0), ("a", 2, 20), ("a", 3, 1), ("a", 4, 2), ("a", 5, 3), ("b", 1, 30)}
+    for wrong in ({}, {"k": 0}, {"k": 2, "share": 0.5}, {"share": 1.5}):
+        with pytest.raises(ValueError):
+            varied.varied_subset(v, **wrong)
+
+
+@pytest.mark.parametrize("region_picks, unit_rows", [(256, 32_768), (8, 32_768), (8, 30)])
+def test_varied_share(spark, vector_tables, monkeypatch, region_picks, unit_rows):
+    """A share of the index, by regions and by tournaments of many nodes: all kinds come before second members of one."""
+    monkeypatch.setattr(varied, "REGION_PICKS", region_picks)
+    monkeypatch.setattr(varied, "UNIT_ROWS", unit_rows)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 24))
+    kind = np.concatenate([np.zeros(400, int), np.repeat(np.arange(1, 40), 10)])
+    x = centres[kind] + 0.02 * rng.standard_normal((len(kind), 24))
+    v = both(vector_tables({"a": (24, [(i, r) for i, r in enumerate(x)] + [(5000, [NAN] * 24)], [])})).repartition(4)
+    got = varied.varied_subset(v, share=0.05, block=16).orderBy("pick").collect()
+    assert [r["pick"] for r in got] == list(range(1, 41)) and len({r["vec_id"] for r in got}) == 40
+    assert len({int(kind[r["vec_id"]]) for r in got}) >= 38
+    members = varied.represented(v, share=0.05, block=16).collect()
+    assert sorted(r["vec_id"] for r in members) == list(range(len(x)))
+    picks = {r["pick_vec_id"]: r["pick"] for r in members}
+    assert picks == {r["vec_id"]: r["pick"] for r in got}
+    assert all(r["pick_vec_id"] == r["vec_id"] and r["similarity"] > 0.9999 for r in members if r["vec_id"] in picks)
+    assert sum(kind[r["vec_id"]] == kind[r["pick_vec_id"]] for r in members) >= 0.97 * len(x)
+
+
+def test_hardly_usable_index(spark, vector_tables, monkeypatch):
+    """An index whose sample holds no usable row loses none of its usable ones."""
+    monkeypatch.setattr(clusters.C, "SAMPLE_ROWS", 3)
+    rows = [(i, [NAN] * 4) for i in range(3000)] + [(5000 + i, [1.0, 2, 3, 4 + i / 100]) for i in range(3)]
+    v = both(vector_tables({"a": (4, rows, [])}))
+    assert sorted(tuple(r) for r in clusters.linked_groups(v, 0.9, 3).collect()) == [(5000, 5001), (5000, 5002)]
+    assert varied.varied_subset(v, 2).count() == 2
 
 
 def test_table_scan_scores():
