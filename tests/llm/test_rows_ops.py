@@ -102,6 +102,40 @@ def test_apportion():
     assert mixing.apportion({"a": 0.5, "b": 0.5}, {"a": 2, "b": 99}, 10) == {"a": 2, "b": 8}
     assert mixing.apportion({"a": 1.0, "b": 0.0}, {"a": 3, "b": 5}, 10) == {"a": 3, "b": 0}
     assert mixing.apportion({}, {}, 3) == {}
+    assert mixing.apportion({"b": 1, "a": 1, "c": 1}, dict.fromkeys("abc", 9), 4) == {"a": 2, "b": 1, "c": 1}
+    rng = random.Random(4)
+    for _ in range(60):
+        keys = [f"k{i}" for i in range(rng.randrange(1, 9))]
+        w = {k: rng.choice([rng.random(), 1, 2, 0.5, 0]) for k in keys}
+        caps = {k: rng.choice([0, 1, 3, 50]) for k in keys}
+        seats = rng.randrange(0, 90)
+        quotients = sorted((-w[k] / (2 * n + 1), k) for k in keys if w[k] > 0 for n in range(caps[k]))[:seats]
+        assert mixing.apportion(w, caps, seats) == {k: sum(q[1] == k for q in quotients) for k in keys}
+
+
+@pytest.mark.parametrize("shards", [1, 50, 5_000, 50_000])
+def test_shares_at_any_number_of_shards(shards):
+    """A small source repeated up to four times and a share that none misses; shards of uneven size."""
+    rng = np.random.default_rng(shards)
+    part = {"big": 0.9, "small": 0.02, "tiny": 0.01, "rest": 0.07}
+    sums = {s: dict(enumerate(np.maximum(1, rng.normal(6e6 * x, 2e5 * x, shards)).astype(np.int64).tolist())) for s, x in part.items()}
+    aims = {"big": (0.6, 1), "small": (0.05, 4), "tiny": (0.02, 2), "rest": (0.33, 9)}
+    total = sum(sum(v.values()) for v in sums.values())
+    got = mixing.quotas(sums, aims, total)
+    for s, (share, repeats) in aims.items():
+        mine = [(q, sums[s][k]) for t, k, q in got if t == s]
+        assert all(0 < q <= repeats * n for q, n in mine)
+        reached = min(share * total, repeats * sum(sums[s].values()))
+        assert sum(q for q, _ in mine) == pytest.approx(reached, rel=1e-3), s
+
+
+def test_tiny_quotas_of_many_shards(spark, monkeypatch):
+    """Of every shard less than a document is wanted."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 10)
+    df = spark.range(4000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'a', 'b') AS source", "repeat('word ', 50) AS text")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    _, report = mixing.mixture(df, targets, total_tokens=8000)
+    assert {r["source"]: r["tokens"] for r in report.collect()} == pytest.approx({"a": 4000, "b": 4000}, rel=0.1)
 
 
 def test_mixture(spark):
@@ -118,5 +152,7 @@ def test_mixture(spark):
     assert {r["source"] for r in mixed.collect()} == {"big", "small", "tiny"}
     again, _ = mixing.mixture(df.repartition(7), targets)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
+    part, report = mixing.mixture(df, targets, total_tokens=3000)
+    assert {r["source"]: r["actual_share"] for r in report.collect() if r["source"] in ("big", "small")} == pytest.approx({"big": 0.4 / 0.9, "small": 0.5 / 0.9}, rel=0.05)
     none, report = mixing.mixture(df.limit(0), targets)
     assert none.count() == 0 and {r["actual_share"] for r in report.collect()} == {0.0}
