@@ -5,8 +5,11 @@ most ``SAMPLE_BYTES``); every row is then assigned to its nearest leaf.
 The leaves are numbered from the tightest to the loosest, and packed in that
 order into units of about ``UNIT_ROWS`` rows, so that vectors far from every
 centre, which probe many loose leaves, go to few units.  A leaf of more rows
-is cut into several units by a hash of the id; no task holds more than a unit
-however the rows lie.
+is cut into several units by a hash of the id.  What probes a unit is
+estimated on a share of the rows (:func:`unit_loads`); a unit that very many
+rows probe is held by several tasks, each answering a part of them
+(:func:`lay_out`).  So no task gets much more than a unit and ``PART_BYTES``
+of probing rows, however the rows lie.
 """
 
 from __future__ import annotations
@@ -29,6 +32,12 @@ ROWS_PER_CELL = 256
 MAX_CELLS = 8_192
 UNIT_ROWS = 16_384
 UNIT_BYTES = 24 << 20
+#: Bytes of probing rows of a task, bytes that tasks are packed up to into partitions, and what a routed row takes besides its vector.
+PART_BYTES = 6 << 20
+TASK_BYTES = 10 << 20
+ROW_BYTES = 48
+#: One of so many probing rows is routed to estimate the loads of units.
+LOAD_SHARE = 16
 #: Indexes that a call may have, and bytes of the centres of all of them, which travel to every executor.
 MAX_INDEXES = 256
 CENTRE_BYTES = 64 << 20
@@ -180,10 +189,71 @@ def lists_by_unit(row: np.ndarray, unit: np.ndarray, cell: np.ndarray) -> tuple[
     return row[first], unit[first], pa.ListArray.from_arrays(pa.array(ends), pa.array(cell.astype(np.int32)))
 
 
-#: Rows on their way to a unit.  Side 0 lives in the unit, side 1 only probes it.
-ROUTED = "unit long, side int, index_no int, vec_id long, cells array<int>, mark int, vec binary"
+@dataclass
+class Layout:
+    """The tasks of every unit: the first of them and their number; of each task its partition, and whether it is the first of its unit."""
+
+    first: np.ndarray
+    parts: np.ndarray
+    partition: np.ndarray
+    primary: np.ndarray
+
+    @property
+    def partitions(self) -> int:
+        return int(self.partition[-1]) + 1 if len(self.partition) else 1
+
+    def homes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, task) for every task that rows living in ``unit`` go to."""
+        n = self.parts[unit]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(unit)), n), np.repeat(self.first[unit], n) + at
+
+    def asked(self, unit: np.ndarray, ident: np.ndarray) -> np.ndarray:
+        """The task in which each row that probes ``unit`` is answered."""
+        return self.first[unit] + block_of(ident ^ 0x5555, self.parts[unit])
+
+
+def lay_out(model: dict[str, Cells], loads: dict[int, float]) -> Layout:
+    """Tasks and partitions for the units of ``model``, of which ``loads`` has the bytes of probing rows."""
+    units = max((int((c.first_unit + c.splits).max()) for c in model.values()), default=0)
+    own = np.zeros(units)
+    for c in model.values():
+        per_unit = c.rows / c.splits * (4 * c.dims + ROW_BYTES)
+        n = c.splits
+        np.add.at(own, np.repeat(c.first_unit, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(per_unit, n))
+    load = np.zeros(units)
+    for u, b in loads.items():
+        load[u] = b
+    parts = np.maximum(1, np.ceil(load / PART_BYTES)).astype(np.int64)
+    first = np.cumsum(parts) - parts
+    size = np.repeat(own + load / parts, parts)
+    partition, number, held = np.zeros(len(size), np.int64), 0, 0.0
+    for t, b in enumerate(size.tolist()):
+        if held and held + b > TASK_BYTES:
+            number, held = number + 1, 0.0
+        partition[t] = number
+        held += b
+    primary = np.zeros(len(size), bool)
+    primary[first] = True
+    return Layout(first, parts, partition, primary)
+
+
+def unit_loads(routed_share: DataFrame) -> dict[int, float]:
+    """Estimated bytes of probing rows of the units that need more than one task, from one of ``LOAD_SHARE`` rows routed with one task a unit."""
+    size = (F.octet_length("vec") + F.lit(ROW_BYTES)).cast("long")
+    heavy = routed_share.filter("side = 1").groupBy("unit").agg((F.sum(size) * LOAD_SHARE).alias("bytes"))
+    return {r["unit"]: float(r["bytes"]) for r in heavy.collect()}
+
+
+def load_share(vectors: DataFrame) -> DataFrame:
+    """The rows by which loads are estimated."""
+    return vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(LOAD_SHARE)) == 0)
+
+
+#: Rows on their way to a task of a unit.  Side 0 lives in the unit, side 1 only probes it.
+ROUTED = "partition int, unit long, side int, index_no int, vec_id long, cells array<int>, mark int, vec binary"
 ROUTED_SCHEMA = pa.schema(
-    [("unit", pa.int64()), ("side", pa.int32()), ("index_no", pa.int32()), ("vec_id", pa.int64()), ("cells", pa.list_(pa.int32())), ("mark", pa.int32()), ("vec", pa.binary())]
+    [("partition", pa.int32()), ("unit", pa.int64()), ("side", pa.int32()), ("index_no", pa.int32()), ("vec_id", pa.int64()), ("cells", pa.list_(pa.int32())), ("mark", pa.int32()), ("vec", pa.binary())]
 )
 
 
@@ -198,6 +268,6 @@ def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int,
             yield int(unit[a]), int(batch["index_no"][int(a)].as_py()), int(side[a]), batch.slice(int(a), int(b - a))
 
 
-def at_units(routed: DataFrame) -> DataFrame:
-    """The routed rows brought to their units; a unit's own rows come before those that probe it."""
-    return routed.repartition("unit").sortWithinPartitions("unit", "side")
+def at_units(routed: DataFrame, layout: Layout) -> DataFrame:
+    """The routed rows brought to their tasks; a unit's own rows come before those that probe it."""
+    return routed.repartitionById(layout.partitions, "partition").sortWithinPartitions("unit", "side")

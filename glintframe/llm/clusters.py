@@ -25,21 +25,21 @@ from . import cells as C
 from .bisect import compact_leaves, unit_rows
 from .bisect import fit_leaves as bisecting
 from .components import connected_components, roots, unite
-from .neighbours import _routed
+from .neighbours import home_rows, routed
 from .vectors import as_binary, from_binary, usable_rows
 
 #: Least cosine to the centre at which a leaf counts as compact.
 COMPACT = 0.95
 #: Rows for each leaf of the first levels.
 ROWS_PER_LEAF = 64
-UNIT_ROWS = 65_536
+UNIT_ROWS = 32_768
 Z = 3.0
 _EDGE = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _MARGIN = 4e-6
 #: Most nodes that one pass makes of a node too large for a task, and bits of a leaf's number within its node.
 PASS_NODES = 64
 _LEAF_BITS = 16
-_LABEL, _LINK = 0, 1
+_LABEL, _LINK, _SELF = 0, 1, 2
 
 
 def _core_cosine(min_similarity: float) -> float:
@@ -52,9 +52,14 @@ def _edges(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 class LinkBlock:
-    """The vectors of a unit with the sets that links make of them."""
+    """The vectors of a unit with the sets that links make of them.
 
-    def __init__(self, cells: C.Cells, min_similarity: float):
+    Where several tasks hold a unit, each finds the same sets before any
+    vector asks; the ``primary`` one reports them, all report what askers join.
+    """
+
+    def __init__(self, cells: C.Cells, min_similarity: float, primary: bool = True):
+        self.primary = primary
         self.cells, self.min, self.core_cos = cells, min_similarity, _core_cosine(min_similarity)
         self.parts: list[tuple] = []
         self.ready = False
@@ -67,7 +72,7 @@ class LinkBlock:
     def _prepare(self) -> None:
         self.ready = True
         ident, cell, core, raw = (np.concatenate([p[k] for p in self.parts]) for k in range(4))
-        order = np.lexsort((~core, cell))
+        order = np.lexsort((ident, ~core, cell))
         self.ids, self.cell, self.core, self.raw = ident[order], cell[order], core[order], raw[order]
         self.x = unit_rows(self.raw)
         self.parent = np.arange(len(order))
@@ -83,6 +88,7 @@ class LinkBlock:
             for i in range(k, b, step):
                 j = min(b, i + step)
                 self._link(self.x[i:j], self.raw[i:j], c, np.arange(i, j))
+        self.base = roots(self.parent, np.arange(len(order))).copy()
 
     def _exact(self, raw: np.ndarray, w: np.ndarray, e: np.ndarray) -> np.ndarray:
         x, y = raw[w].astype(np.float64), self.raw[e].astype(np.float64)
@@ -157,35 +163,39 @@ class LinkBlock:
         self.hit.append(first[got])
 
     def finish(self) -> Iterator[pa.RecordBatch]:
-        """Labels (own vector, least row's vector of its set) and links (asking vector, such a vector), as nodes."""
+        """Labels (own vector, first vector of its set) and links (asking vector or set, set), as nodes; sets of one vector that are linked are told apart."""
         if not self.parts:
             return
         if not self.ready:
             self._prepare()
-        root = roots(self.parent, np.arange(len(self.ids)))
+        node = self.ids * 2
+        base = np.unique(self.base)
+        now = roots(self.parent, base)
+        joined = base != now
         asked = np.concatenate(self.asked or [np.zeros(0, np.int64)])
-        hit = np.concatenate(self.hit or [np.zeros(0, np.int64)])
-        size = np.bincount(root, minlength=len(root))
-        size[root[hit]] += 1
+        hit = self.base[np.concatenate(self.hit or [np.zeros(0, np.int64)])]
         anchors, held = [], []
         for c, (a, k, _) in self.spans.items():
-            if k > a and self.cells.splits[c] > 1:
+            if self.primary and k > a and self.cells.splits[c] > 1:
                 anchors.append(2 * (self.cells.number * C.MAX_CELLS + c) + 1)
-                held.append(root[a])
-                size[root[a]] += 1
-        node = self.ids * 2
-        some = size[root] > 1
-        yield _edges(_LABEL, node[some], node[root[some]])
-        if len(asked):
-            yield _edges(_LINK, asked * 2, node[root[hit]])
-        if anchors:
-            yield _edges(_LINK, np.array(anchors, np.int64), node[np.array(held)])
-
-
-def _router(model, min_similarity: float, z: float):
+                held.append(self.base[a])
+        size = np.bincount(self.base, minlength=len(node))
+        if self.primary:
+            some = size[self.base] > 1
+            yield _edges(_LABEL, node[some], node[self.base[some]])
+        touched = np.unique(np.concatenate([hit, base[joined], self.base[now[joined]], np.array(held, np.int64)]).astype(np.int64))
+        alone = touched[size[touched] == 1]
+        yield _edges(_SELF, node[alone], node[alone])
+        yield _edges(_LINK, asked * 2, node[hit])
+        yield _edges(_LINK, node[base[joined]], node[self.base[now[joined]]])
+        yield _edges(_LINK, np.array(anchors, np.int64), node[np.array(held, np.int64)])
+
+
+def _router(model, layout, min_similarity: float, z: float):
     core_cos = _core_cosine(min_similarity)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tasks = layout.value
         for batch in batches:
             ids = batch["vec_id"].to_numpy()
             for name, rows, raw in usable_rows(batch):
@@ -197,9 +207,8 @@ def _router(model, min_similarity: float, z: float):
                     own, xs, raws = ident[i : i + len(home)], x[i : i + len(home)], raw[i : i + len(home)]
                     core = np.einsum("ij,ij->i", xs, cells.centres[home]) >= core_cos
                     block = C.block_of(own, cells.splits[home])
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32)), pa.array(home.astype(np.int32)))
                     unit = cells.first_unit[home] + block
-                    yield _routed(unit, 0, cells.number, own, lists, raws, core)
+                    yield home_rows(tasks, cells, own, raws, home, unit, core)
                     # a pair is compared from its tighter cell: vectors there probe few cells
                     away = cell > home[row]
                     within = (cell == home[row]) & (cells.splits[cell] > 1) & ~core[row]
@@ -208,12 +217,12 @@ def _router(model, min_similarity: float, z: float):
                     other = (cell != home[row]) | (to != unit[row])
                     row, to, lists = C.lists_by_unit(row[other], to[other], cell[other])
                     if len(row):
-                        yield _routed(to, 1, cells.number, own[row], lists, raws[row])
+                        yield routed(tasks, tasks.asked(to, own[row]), 1, cells.number, own[row], lists, raws[row])
 
     return route
 
 
-def _linker(model, min_similarity: float):
+def _linker(model, layout, min_similarity: float):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_number = {c.number: c for c in model.value.values()}
         unit, block = None, None
@@ -221,7 +230,7 @@ def _linker(model, min_similarity: float):
             if u != unit:
                 if block:
                     yield from block.finish()
-                unit, block = u, LinkBlock(by_number[number], min_similarity)
+                unit, block = u, LinkBlock(by_number[number], min_similarity, bool(layout.value.primary[u]))
             raw = from_binary(rows["vec"], block.cells.dims)
             ident, lists = rows["vec_id"].to_numpy(), rows["cells"]
             at = lists.offsets.to_numpy()
@@ -251,10 +260,12 @@ def linked_groups(vectors: DataFrame, min_similarity: float, min_size: int, z: f
     model = fit_leaves(vectors)
     if not model:
         return spark.createDataFrame([], "first_vec_id long, vec_id long")
-    shared = spark.sparkContext.broadcast(model)
-    routed = vectors.mapInArrow(_router(shared, min_similarity, z), C.ROUTED)
-    found = checkpointed(C.at_units(routed).mapInArrow(_linker(shared, min_similarity), "kind int, a long, b long"))
-    labels = found.filter(f"kind = {_LABEL}").select(F.col("a").alias("node"), F.col("b").alias("label"))
+    shared, single = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(C.lay_out(model, {}))
+    layout = C.lay_out(model, C.unit_loads(C.load_share(vectors).mapInArrow(_router(shared, single, min_similarity, z), C.ROUTED)))
+    tasks = spark.sparkContext.broadcast(layout)
+    sent = C.at_units(vectors.mapInArrow(_router(shared, tasks, min_similarity, z), C.ROUTED), layout)
+    found = checkpointed(sent.mapInArrow(_linker(shared, tasks, min_similarity), "kind int, a long, b long"))
+    labels = found.filter(f"kind = {_LABEL}").unionByName(found.filter(f"kind = {_SELF}").distinct()).select(F.col("a").alias("node"), F.col("b").alias("label"))
     links = found.filter(f"kind = {_LINK}").select("a", "b")
     # a link joins the label that its asking vector has at home with the label it found
     own = links.join(labels, links["a"] == labels["node"], "left").select("a", F.coalesce("label", "a").alias("u"), F.col("b").alias("v"), F.col("label").isNull().alias("alone"))

@@ -255,8 +255,9 @@ class Block:
         return a + e[keep], qs[w[keep]], exact[keep]
 
 
-def _router(model, k: int, min_similarity: float, z: float):
+def _router(model, layout, k: int, min_similarity: float, z: float):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tasks = layout.value
         for batch in batches:
             ids, sides = batch["vec_id"].to_numpy(), batch["side"].to_numpy()
             for name, rows, raw in usable_rows(batch):
@@ -267,23 +268,31 @@ def _router(model, k: int, min_similarity: float, z: float):
                 own = np.flatnonzero(side == 0)
                 if len(own):
                     home = C.nearest(x[own], cells.centres)
-                    unit = cells.first_unit[home] + C.block_of(ident[own], cells.splits[home])
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32)), pa.array(home.astype(np.int32)))
-                    yield _routed(unit, 0, cells.number, ident[own], lists, raw[own])
+                    yield home_rows(tasks, cells, ident[own], raw[own], home, cells.first_unit[home] + C.block_of(ident[own], cells.splits[home]))
                 ask = np.flatnonzero(side == 1)
                 for i, _, row, cell in C.probes(x[ask], cells, min_similarity, z):
                     row, unit, lists = C.lists_by_unit(*(lambda r, c, u: (r, u, c))(*C.expand_blocks(row, cell, cells)))
                     rows_ = ask[i + row]
-                    yield _routed(unit, 1, cells.number, ident[rows_], lists, raw[rows_])
+                    yield routed(tasks, tasks.asked(unit, ident[rows_]), 1, cells.number, ident[rows_], lists, raw[rows_])
 
     return route
 
 
-def _routed(unit, side: int, number: int, ident, lists: pa.Array, raw: np.ndarray, mark=None) -> pa.RecordBatch:
+def home_rows(tasks: C.Layout, cells: C.Cells, ident: np.ndarray, raw: np.ndarray, home: np.ndarray, unit: np.ndarray, mark: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows routed to all tasks of the units that they live in."""
+    row, task = tasks.homes(unit)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32)), pa.array(home[row].astype(np.int32)))
+    return routed(tasks, task, 0, cells.number, ident[row], lists, raw[row], None if mark is None else mark[row])
+
+
+def routed(tasks: C.Layout, task: np.ndarray, side: int, number: int, ident, lists: pa.Array, raw: np.ndarray, mark=None) -> pa.RecordBatch:
     n = len(ident)
     mark = np.zeros(n, np.int32) if mark is None else mark.astype(np.int32)
     return pa.record_batch(
-        [pa.array(unit, pa.int64()), pa.array(np.full(n, side, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(ident, pa.int64()), lists, pa.array(mark), as_binary(raw)],
+        [
+            pa.array(tasks.partition[task].astype(np.int32)), pa.array(task, pa.int64()), pa.array(np.full(n, side, np.int32)), pa.array(np.full(n, number, np.int32)),
+            pa.array(ident, pa.int64()), lists, pa.array(mark), as_binary(raw),
+        ],
         schema=C.ROUTED_SCHEMA,
     )
 
@@ -323,8 +332,10 @@ def nearest_vectors(vectors: DataFrame, k: int, min_similarity: float, z: float
     schema = "query_id long, vec_id long, similarity double"
     if not model:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(model)
-    routed = vectors.mapInArrow(_router(shared, k, min_similarity, z), C.ROUTED)
-    found = C.at_units(routed).mapInArrow(_searcher(shared, k, min_similarity), schema)
+    shared, single = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(C.lay_out(model, {}))
+    share = C.load_share(vectors.filter("side = 1")).mapInArrow(_router(shared, single, k, min_similarity, z), C.ROUTED)
+    layout = C.lay_out(model, C.unit_loads(share))
+    routed_rows = vectors.mapInArrow(_router(shared, spark.sparkContext.broadcast(layout), k, min_similarity, z), C.ROUTED)
+    found = C.at_units(routed_rows, layout).mapInArrow(_searcher(shared, k, min_similarity), schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k).drop("_place")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from glintframe.llm import bisect, clusters, components, neighbours, varied
+from glintframe.llm import bisect, cells, clusters, components, neighbours, varied
 from glintframe.llm.vectors import with_dimensions
 
 from .conftest import clustered
@@ -38,8 +38,9 @@ def good(rows, width):
     return [(i, np.asarray(v, np.float64)) for i, v in rows if v is not None and len(v) == width and all(x is not None and np.isfinite(x) for x in v) and any(v)]
 
 
-@pytest.mark.parametrize("rows_per_cell, unit_rows", [(256, 16_384), (16, 16_384), (16, 20), (60, 7)])
-def test_nearest(spark, vector_tables, content, rows_per_cell, unit_rows):
+@pytest.mark.parametrize("rows_per_cell, unit_rows, part_bytes", [(256, 16_384, 6 << 20), (16, 16_384, 6 << 20), (16, 20, 500), (60, 7, 6 << 20), (60, 100, 300)])
+def test_nearest(spark, vector_tables, content, monkeypatch, rows_per_cell, unit_rows, part_bytes):
+    monkeypatch.setattr(neighbours.C, "PART_BYTES", part_bytes)
     want = set()
     for width, e, r in content.values():
         e, r = good(e, width), good(r, width)
@@ -53,8 +54,9 @@ def test_nearest(spark, vector_tables, content, rows_per_cell, unit_rows):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-@pytest.mark.parametrize("unit_rows", [65_536, 20])
-def test_linked_groups(spark, vector_tables, content, monkeypatch, unit_rows):
+@pytest.mark.parametrize("unit_rows, part_bytes", [(65_536, 6 << 20), (20, 6 << 20), (65_536, 300), (40, 200)])
+def test_linked_groups(spark, vector_tables, content, monkeypatch, unit_rows, part_bytes):
+    monkeypatch.setattr(clusters.C, "PART_BYTES", part_bytes)
     monkeypatch.setattr(clusters, "UNIT_ROWS", unit_rows)
     monkeypatch.setattr(clusters, "ROWS_PER_LEAF", 8)
     want = set()
@@ -76,6 +78,19 @@ def test_linked_groups(spark, vector_tables, content, monkeypatch, unit_rows):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_layout():
+    """Units that many rows probe get several tasks; a small unit shares a partition."""
+    c = cells.Cells(0, 4, np.zeros((3, 4), np.float32), np.array([10.0, 10, 40_000]), np.ones(3), b"", np.array([0, 1, 2]), np.array([1, 1, 3]))
+    out = cells.lay_out({"a": c}, {1: 2.5 * cells.PART_BYTES, 3: 1.0})
+    assert out.parts.tolist() == [1, 3, 1, 1, 1] and out.first.tolist() == [0, 1, 4, 5, 6]
+    assert out.primary.tolist() == [True, True, False, False, True, True, True]
+    assert out.partition[0] == out.partition[1] and out.partitions == out.partition[-1] + 1 == 3
+    row, task = out.homes(np.array([0, 1, 4]))
+    assert row.tolist() == [0, 1, 1, 1, 2] and task.tolist() == [0, 1, 2, 3, 6]
+    asked = out.asked(np.full(900, 1), np.arange(900))
+    assert set(asked.tolist()) == {1, 2, 3} and np.bincount(asked).max() < 400
+
+
 def test_nothing(spark, vector_tables):
     empty = both(vector_tables({"a": (4, [], [])}))
     unusable = both(vector_tables({"a": (4, [(1, [NAN] * 4), (2, [0.0] * 4)], [(3, None)])}))
