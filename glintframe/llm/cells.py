@@ -8,8 +8,8 @@ centre, which probe many loose leaves, go to few units.  A leaf of more rows
 is cut into several units by a hash of the id.  What probes a unit is
 estimated on a share of the rows (:func:`unit_loads`); a unit that very many
 rows probe is held by several tasks, each answering a part of them
-(:func:`lay_out`).  So no task gets much more than a unit and ``PART_BYTES``
-of probing rows, however the rows lie.
+(:func:`lay_out`).  So no task gets much more than a unit and its part
+of the probing rows, however the rows lie.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ ROWS_PER_CELL = 256
 MAX_CELLS = 8_192
 UNIT_ROWS = 16_384
 UNIT_BYTES = 24 << 20
-#: Bytes of probing rows of a task, bytes that tasks are packed up to into partitions, and what a routed row takes besides its vector.
-PART_BYTES = 6 << 20
+#: Bytes that small tasks are packed up to into partitions, and what a routed row takes besides its vector.
 TASK_BYTES = 10 << 20
 ROW_BYTES = 48
 #: One of so many probing rows is routed to estimate the loads of units.
@@ -213,8 +212,8 @@ class Layout:
         return self.first[unit] + block_of(ident ^ 0x5555, self.parts[unit])
 
 
-def lay_out(model: dict[str, Cells], loads: dict[int, float]) -> Layout:
-    """Tasks and partitions for the units of ``model``, of which ``loads`` has the bytes of probing rows."""
+def lay_out(model: dict[str, Cells], loads: dict[int, float], part_bytes: int) -> Layout:
+    """Tasks and partitions for the units of ``model``, of which ``loads`` has the bytes of probing rows; a task gets about ``part_bytes`` of these."""
     units = max((int((c.first_unit + c.splits).max()) for c in model.values()), default=0)
     own = np.zeros(units)
     for c in model.values():
@@ -224,7 +223,7 @@ def lay_out(model: dict[str, Cells], loads: dict[int, float]) -> Layout:
     load = np.zeros(units)
     for u, b in loads.items():
         load[u] = b
-    parts = np.maximum(1, np.ceil(load / PART_BYTES)).astype(np.int64)
+    parts = np.maximum(1, np.ceil(load / part_bytes)).astype(np.int64)
     first = np.cumsum(parts) - parts
     size = np.repeat(own + load / parts, parts)
     partition, number, held = np.zeros(len(size), np.int64), 0, 0.0

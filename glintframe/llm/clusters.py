@@ -32,7 +32,9 @@ from .vectors import as_binary, from_binary, usable_rows
 COMPACT = 0.95
 #: Rows for each leaf of the first levels.
 ROWS_PER_LEAF = 64
-UNIT_ROWS = 32_768
+UNIT_ROWS = 65_536
+#: Bytes of probing rows of a task.
+PART_BYTES = 16 << 20
 Z = 3.0
 _EDGE = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 _MARGIN = 4e-6
@@ -260,8 +262,8 @@ def linked_groups(vectors: DataFrame, min_similarity: float, min_size: int, z: f
     model = fit_leaves(vectors)
     if not model:
         return spark.createDataFrame([], "first_vec_id long, vec_id long")
-    shared, single = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(C.lay_out(model, {}))
-    layout = C.lay_out(model, C.unit_loads(C.load_share(vectors).mapInArrow(_router(shared, single, min_similarity, z), C.ROUTED)))
+    shared, single = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(C.lay_out(model, {}, PART_BYTES))
+    layout = C.lay_out(model, C.unit_loads(C.load_share(vectors).mapInArrow(_router(shared, single, min_similarity, z), C.ROUTED)), PART_BYTES)
     tasks = spark.sparkContext.broadcast(layout)
     sent = C.at_units(vectors.mapInArrow(_router(shared, tasks, min_similarity, z), C.ROUTED), layout)
     found = checkpointed(sent.mapInArrow(_linker(shared, tasks, min_similarity), "kind int, a long, b long"))

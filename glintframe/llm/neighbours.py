@@ -31,6 +31,8 @@ Z = 3.0
 #: Inner product from which errors matter, for the weight of parallel errors.
 SCORE_THRESHOLD = 0.2
 QUERY_BLOCK = 2_048
+#: Bytes of probing rows of a task.
+PART_BYTES = 8 << 20
 #: Pairs scored at once, those of them whose table entries are added while they stay in the cache, and bytes of raw vectors gathered at once.
 SCAN_PAIRS = 1 << 20
 CACHED_PAIRS = 1 << 16
@@ -332,9 +334,9 @@ def nearest_vectors(vectors: DataFrame, k: int, min_similarity: float, z: float
     schema = "query_id long, vec_id long, similarity double"
     if not model:
         return spark.createDataFrame([], schema)
-    shared, single = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(C.lay_out(model, {}))
+    shared, single = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(C.lay_out(model, {}, PART_BYTES))
     share = C.load_share(vectors.filter("side = 1")).mapInArrow(_router(shared, single, k, min_similarity, z), C.ROUTED)
-    layout = C.lay_out(model, C.unit_loads(share))
+    layout = C.lay_out(model, C.unit_loads(share), PART_BYTES)
     routed_rows = vectors.mapInArrow(_router(shared, spark.sparkContext.broadcast(layout), k, min_similarity, z), C.ROUTED)
     found = C.at_units(routed_rows, layout).mapInArrow(_searcher(shared, k, min_similarity), schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")

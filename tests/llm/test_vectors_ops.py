@@ -40,7 +40,7 @@ def good(rows, width):
 
 @pytest.mark.parametrize("rows_per_cell, unit_rows, part_bytes", [(256, 16_384, 6 << 20), (16, 16_384, 6 << 20), (16, 20, 500), (60, 7, 6 << 20), (60, 100, 300)])
 def test_nearest(spark, vector_tables, content, monkeypatch, rows_per_cell, unit_rows, part_bytes):
-    monkeypatch.setattr(neighbours.C, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(neighbours, "PART_BYTES", part_bytes)
     want = set()
     for width, e, r in content.values():
         e, r = good(e, width), good(r, width)
@@ -56,7 +56,7 @@ def test_nearest(spark, vector_tables, content, monkeypatch, rows_per_cell, unit
 
 @pytest.mark.parametrize("unit_rows, part_bytes", [(65_536, 6 << 20), (20, 6 << 20), (65_536, 300), (40, 200)])
 def test_linked_groups(spark, vector_tables, content, monkeypatch, unit_rows, part_bytes):
-    monkeypatch.setattr(clusters.C, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(clusters, "PART_BYTES", part_bytes)
     monkeypatch.setattr(clusters, "UNIT_ROWS", unit_rows)
     monkeypatch.setattr(clusters, "ROWS_PER_LEAF", 8)
     want = set()
@@ -81,7 +81,7 @@ def test_linked_groups(spark, vector_tables, content, monkeypatch, unit_rows, pa
 def test_layout():
     """Units that many rows probe get several tasks; a small unit shares a partition."""
     c = cells.Cells(0, 4, np.zeros((3, 4), np.float32), np.array([10.0, 10, 40_000]), np.ones(3), b"", np.array([0, 1, 2]), np.array([1, 1, 3]))
-    out = cells.lay_out({"a": c}, {1: 2.5 * cells.PART_BYTES, 3: 1.0})
+    out = cells.lay_out({"a": c}, {1: 15e6, 3: 1.0}, 6 << 20)
     assert out.parts.tolist() == [1, 3, 1, 1, 1] and out.first.tolist() == [0, 1, 4, 5, 6]
     assert out.primary.tolist() == [True, True, False, False, True, True, True]
     assert out.partition[0] == out.partition[1] and out.partitions == out.partition[-1] + 1 == 3
