@@ -84,7 +84,7 @@ def test_layout():
     out = cells.lay_out({"a": c}, {1: 15e6, 3: 1.0}, 6 << 20)
     assert out.parts.tolist() == [1, 3, 1, 1, 1] and out.first.tolist() == [0, 1, 4, 5, 6]
     assert out.primary.tolist() == [True, True, False, False, True, True, True]
-    assert out.partition[0] == out.partition[1] and out.partitions == out.partition[-1] + 1 == 3
+    assert out.partition[0] == out.partition[1] and out.partitions == out.partition[-1] + 1 == 2
     row, task = out.homes(np.array([0, 1, 4]))
     assert row.tolist() == [0, 1, 1, 1, 2] and task.tolist() == [0, 1, 2, 3, 6]
     asked = out.asked(np.full(900, 1), np.arange(900))
