@@ -11,6 +11,11 @@ Reviews are noisy, and most windows of a document judged toxic are ordinary.
 So the toxic dictionary is refined in rounds: every reviewed document is
 scored by dictionaries of the other folds, and only windows that score as
 toxic stay.  The out-of-fold scores of the last round give the threshold.
+
+A phrase that a single reviewed document has gets no support from other
+folds.  If nothing in a document judged toxic scores as such, its window that
+the ordinary dictionary saves least on is taken, provided that it is in no
+ordinary document and that hardly any of these has one so novel.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import checkpointed
+
 #: Reviewed documents that the dictionaries are made of, at most; beyond, a sample by hash of the id.
 MAX_REVIEWED = 20_000
 #: Bytes of the dictionaries; more windows than fit are sampled.
@@ -48,29 +55,43 @@ LEAST_THRESHOLD = 0.08
 #: F1 that may be given up for a higher threshold.
 F1_SLACK = 0.003
 MEMO = 100_000
+#: Least share of its bytes that a window costs beside the ordinary dictionary, and the share of ordinary documents
+#: without a window of their own that novel, for a toxic document's most novel window to be taken unsupported.
+NOVEL, NOVEL_QUANTILE = 0.5, 0.985
+#: Windows of an ordinary document that a model is fitted on, at most; those of longer ones are a sample by place.
+FIT_WINDOWS = 500
 
 # Digits and signs written for letters, and letters of other scripts that look like Latin ones.
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _LOOKALIKES = str.maketrans("авекмнорстухіјѕαεικνορτυχ", "abekmhopctyxijsaeiknoptux")
 
 
-@lru_cache(maxsize=1)
-def _patterns():
+@lru_cache(maxsize=2)
+def _patterns(ascii_only: bool) -> dict:
+    """The patterns of :func:`normalised` and :func:`windows`; texts of ASCII alone have simpler ones."""
+    import re
+
     import regex
 
+    if ascii_only:
+        compiled, letter, mark, digit, odd = re.compile, "a-z", "", "0-9", "0-9@$"
+    else:
+        compiled, letter, mark, digit, odd = regex.compile, r"\p{L}", r"\p{M}", r"\p{N}", r"\p{N}\p{M}@$\p{Cyrillic}\p{Greek}"
+    of_token = f"[{letter}{mark}{digit}@$]"
     return {
         "invisible": regex.compile(r"\p{Cf}+"),
-        "token": regex.compile(r"[\p{L}\p{M}\p{N}@$]+"),
-        "masked": regex.compile(r"(?<=\p{L})[_#*](?=\p{L})"),
-        "spaced": regex.compile(r"(?<![\p{L}\p{M}])(?:\p{L}[ .*_-]){3,}\p{L}(?![\p{L}\p{M}])"),
-        "gap": regex.compile(r"[ .*_-]"),
-        "repeated": regex.compile(r"(\p{L})\1+"),
-        "number": regex.compile(r"\p{N}+"),
-        "cut": regex.compile(r"[^\n\r.!?;。！？\t]+"),
-        "word": regex.compile(r"[\p{L}\p{M}\p{N}]+"),
-        "letter": regex.compile(r"\p{L}"),
+        # words in which something other than plain letters occurs
+        "token": compiled(f"(?<!{of_token})[{letter}]*[{odd}]{of_token}*"),
+        "masked": compiled(f"(?<=[{letter}])[_#*](?=[{letter}])"),
+        "spaced": compiled(f"(?<![{letter}{mark}])(?:[{letter}][ .*_-]){{3,}}[{letter}](?![{letter}{mark}])"),
+        "gap": compiled(r"[ .*_-]"),
+        "repeated": compiled(f"([{letter}])\\1+"),
+        "number": compiled(f"[{digit}]+"),
+        "cut": compiled(r"[^\n\r.!?;。！？\t]+"),
+        "other": compiled(f"[^{letter}{mark}{digit}]+"),
+        "four": compiled(f"(?:[{letter}][^{letter}]*){{4}}"),
         "latin": regex.compile(r"\p{Latin}"),
-        "other": regex.compile(r"[\p{Cyrillic}\p{Greek}]"),
+        "foreign": regex.compile(r"[\p{Cyrillic}\p{Greek}]"),
     }
 
 
@@ -78,8 +99,8 @@ def _token(match) -> str:
     w = match.group()
     letters = sum(map(str.isalpha, w))
     if letters == len(w):
-        p = _patterns()
-        return w.translate(_LOOKALIKES) if not w.isascii() and p["latin"].search(w) and p["other"].search(w) else w
+        p = _patterns(False)
+        return w.translate(_LOOKALIKES) if p["latin"].search(w) and p["foreign"].search(w) else w
     signs = len(w) - letters
     if len(w) >= 8 and signs >= 3:
         return "0"
@@ -88,26 +109,34 @@ def _token(match) -> str:
 
 def normalised(text: str) -> str:
     """Lower case without invisible characters, disguises undone, repeated letters and numbers reduced to one."""
-    p = _patterns()
-    text = p["invisible"].sub("", unicodedata.normalize("NFKC", text)).casefold()
+    if text.isascii():
+        text, p = text.lower(), _patterns(True)
+    else:
+        p = _patterns(False)
+        text = p["invisible"].sub("", unicodedata.normalize("NFKC", text)).casefold()
     text = p["masked"].sub("", p["token"].sub(_token, text))
     text = p["spaced"].sub(lambda m: p["gap"].sub("", m.group()), text)
     return p["number"].sub("0", p["repeated"].sub(r"\1", text))
 
 
 def windows(text: str) -> list[str]:
-    """The distinct windows of the whole text, in order; pieces with fewer than four letters are none."""
-    p = _patterns()
-    out = []
-    for piece in p["cut"].findall(normalised(text)):
-        w = " ".join(p["word"].findall(piece))
+    """The distinct windows of the whole text, in order; of pieces with fewer than four letters only the text's sole one is a window."""
+    text = normalised(text)
+    p = _patterns(text.isascii())
+    out, short = [], []
+    for piece in p["cut"].findall(text):
+        w = p["other"].sub(" ", piece).strip()
         while True:
             head = w[:WINDOW]
-            if len(p["letter"].findall(head)) >= 4:
+            if p["four"].search(head):
                 out.append(head)
+            elif head:
+                short.append(head)
             if len(w) <= WINDOW:
                 break
             w = w[WINDOW - OVERLAP :]
+    if not out and len(set(short)) == 1 and any(map(str.isalpha, short[0])):
+        out = short[:1]
     return list(dict.fromkeys(out))
 
 
@@ -152,9 +181,26 @@ def pieces(w: str) -> list[str]:
     return out
 
 
+class Remembered(Sizes):
+    """Sizes that are kept, for windows that are asked for again and again."""
+
+    def __init__(self, body: bytes, pad: int = 0):
+        super().__init__(body, pad)
+        self.memo: dict[bytes, int] = {}
+
+    def __call__(self, w: bytes) -> int:
+        n = self.memo.get(w)
+        if n is None:
+            n = self.memo[w] = super().__call__(w)
+        return n
+
+
 class Scorer:
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = Sizes(ordinary, len(toxic)), Sizes(toxic, len(ordinary))
+    """Scores by the two dictionaries; ``sizes`` may hold the ordinary one's sizes, if it is the longer one."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes, sizes: Sizes | None = None):
+        self.ordinary = sizes if sizes and len(toxic) <= len(ordinary) else Sizes(ordinary, len(toxic))
+        self.toxic = Sizes(toxic, len(ordinary))
         self.memo: dict[str, float] = {}
 
     def _score(self, w: str) -> float:
@@ -207,15 +253,22 @@ def _grams(w: str) -> set[tuple[str, ...]]:
     return {tuple(x[k : k + 3]) for k in range(len(x) - 2)} or {tuple(x)}
 
 
-def train(reviewed: list[tuple[int, bool, list[str]]]) -> tuple[bytes, bytes, float]:
-    """Ordinary dictionary, toxic dictionary and threshold from (doc_id, judged toxic, windows).
+def _novelty(sizes: Sizes, w: str) -> float:
+    """The share of a window's bytes that it costs beside the dictionary."""
+    b = w.encode("utf-8", "ignore")
+    return (sizes(b) - sizes(b"")) / max(1, len(b))
+
+
+def train(reviewed: list[tuple[int, bool, list[str]]], setting: tuple[float, float]) -> tuple[float, bytes, bytes, float]:
+    """Out-of-fold F1, ordinary dictionary, toxic dictionary and threshold from (doc_id, judged toxic, windows) by one of ``STAYS``.
 
     Without a document judged toxic, or without a gain, the threshold is infinite.
     """
+    stays, alone = setting
     # copies of a document speak once
     first = {(bad, tuple(w)): i for i, bad, w in reversed(reviewed)}
     toxic = {i: list(w) for (bad, w), i in first.items() if bad}
-    clean = {i: list(w) for (bad, w), i in first.items() if not bad}
+    clean = {i: list(w[:: -(-len(w) // FIT_WINDOWS)] if w else w) for (bad, w), i in first.items() if not bad}
     in_toxic, in_clean, whole = Counter(), Counter(), Counter()
     for ws in toxic.values():
         in_toxic.update({g for w in ws for g in _grams(w)})
@@ -225,40 +278,45 @@ def train(reviewed: list[tuple[int, bool, list[str]]]) -> tuple[bytes, bytes, fl
     # wrong verdicts: windows whose word triples speak clearly for the other side
     leans = {w: (any(in_toxic[g] >= 3 and in_toxic[g] >= 2 * in_clean[g] for g in _grams(w)), any(in_clean[g] >= 2 and in_clean[g] >= 4 * in_toxic[g] for g in _grams(w))) for ws in (*toxic.values(), *clean.values()) for w in ws}
     fold = {i: ((i * 0x9E3779B97F4A7C15) % 2**64 >> 40) % FOLDS for i in (*toxic, *clean)}
-    start = {(i, w) for i, ws in toxic.items() for w in ws if whole[w] == 0 and (leans[w][0] or not leans[w][1])}
+    ordinary = {i: [w for w in ws if not (leans[w][0] and not leans[w][1])] for i, ws in clean.items()}
+    bodies = [dictionary({w for i, ws in ordinary.items() if fold[i] != f for w in ws}, ORDINARY_BYTES) for f in range(FOLDS)]
+    sizes = [Remembered(body) for body in bodies]
 
-    def scorer(chosen: set[tuple[int, str]], without: int) -> Scorer:
-        a = {w for i, ws in clean.items() if fold[i] != without for w in ws if not (leans[w][0] and not leans[w][1])}
-        return Scorer(dictionary(a, ORDINARY_BYTES), dictionary({w for i, w in chosen if fold[i] != without}, TOXIC_BYTES))
-
-    def out_of_fold(chosen: set[tuple[int, str]]) -> dict[tuple[int, str], float]:
+    def out_of_fold(chosen: set[tuple[int, str]], documents: dict[int, list[str]]) -> dict[tuple[int, str], float]:
         score = {}
         for f in range(FOLDS):
-            s = scorer(chosen, f)
-            score.update({(i, w): s.window(w) for i, ws in (*toxic.items(), *clean.items()) if fold[i] == f for w in ws})
+            s = Scorer(bodies[f], dictionary({w for i, w in chosen if fold[i] != f}, TOXIC_BYTES), sizes[f])
+            score.update({(i, w): s.window(w) for i, ws in documents.items() if fold[i] == f for w in ws})
         return score
 
-    tried: list[tuple[float, float, set[tuple[int, str]]]] = []
-    first_scores = out_of_fold(start)
-    for stays, alone in STAYS:
-        score, chosen = first_scores, start
-        for _ in range(ROUNDS - 1):
-            chosen = {(i, w) for i, ws in toxic.items() for w in ws if score[i, w] >= (stays if leans[w][0] else alone) and (leans[w][0] or (whole[w] <= 1 and not leans[w][1]))}
-            score = out_of_fold(chosen)
-        f1, threshold = _threshold({i: max((score[i, w] for w in ws), default=-1.0) for i, ws in (*toxic.items(), *clean.items())}, set(toxic))
-        tried.append((f1, threshold, chosen))
-    # the strictest that all but reaches the best
-    _, threshold, chosen = [t for t in tried if t[0] >= max(f1 for f1, _, _ in tried) - STRICT_SLACK][-1] if tried[0][0] > 0 else tried[0]
-    a = {w for ws in clean.values() for w in ws if not (leans[w][0] and not leans[w][1])}
-    return dictionary(a, ORDINARY_BYTES), dictionary({w for _, w in chosen}, TOXIC_BYTES), threshold
+    chosen = {(i, w) for i, ws in toxic.items() for w in ws if whole[w] == 0 and (leans[w][0] or not leans[w][1])}
+    for _ in range(ROUNDS - 1):
+        score = out_of_fold(chosen, toxic)
+        chosen = {(i, w) for i, ws in toxic.items() for w in ws if score[i, w] >= (stays if leans[w][0] else alone) and (leans[w][0] or (whole[w] <= 1 and not leans[w][1]))}
+    score = out_of_fold(chosen, toxic | clean)
+    best = {i: max((score[i, w] for w in ws), default=-1.0) for i, ws in (*toxic.items(), *clean.items())}
+    f1, threshold = _threshold(best, set(toxic))
+    own = sorted(max((_novelty(sizes[fold[i]], w) for w in ws if whole[w] == 1), default=0.0) for i, ws in clean.items())
+    least = max(NOVEL, own[min(len(own) - 1, int(NOVEL_QUANTILE * len(own)))]) if own else float("inf")
+    for i, ws in toxic.items():
+        new = [(_novelty(sizes[fold[i]], w), w) for w in ws if whole[w] == 0] if best[i] < threshold else []
+        if new and max(new)[0] >= least:
+            chosen.add((i, max(new)[1]))
+    return f1, dictionary({w for ws in ordinary.values() for w in ws}, ORDINARY_BYTES), dictionary({w for _, w in chosen}, TOXIC_BYTES), threshold
+
+
+def strictest(models: list[tuple]) -> tuple:
+    """Of the models of all ``STAYS``, each beginning with its F1, the last one that all but reaches the best."""
+    best = max(m[0] for m in models)
+    return [m for m in models if m[0] >= best - STRICT_SLACK][-1] if models[0][0] > 0 else models[0]
 
 
 def fit(documents: DataFrame, reviews: DataFrame) -> tuple[bytes, bytes, float]:
-    """The model of :func:`train` from ``documents`` (doc_id, text) and ``reviews`` (doc_id, verdict).
+    """The dictionaries and threshold of :func:`train` from ``documents`` (doc_id, text) and ``reviews`` (doc_id, verdict).
 
     A document counts as toxic or ordinary by the majority of its ``remove``
     and ``keep`` verdicts; with as many of both it isn't used.  At most about
-    ``MAX_REVIEWED`` documents are used.
+    ``MAX_REVIEWED`` documents are used, each setting in a task of its own.
     """
     votes = (
         reviews.filter("doc_id is not null and verdict in ('keep', 'remove')")
@@ -275,18 +333,23 @@ def fit(documents: DataFrame, reviews: DataFrame) -> tuple[bytes, bytes, float]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch(
-                [batch["doc_id"], batch["vote"], pa.array([windows(t) for t in batch["text"].to_pylist()], pa.list_(pa.string())), pa.array([0] * batch.num_rows, pa.int32())],
-                names=["doc_id", "vote", "windows", "one"],
+                [batch["doc_id"], batch["vote"], pa.array([windows(t) for t in batch["text"].to_pylist()], pa.list_(pa.string()))], names=["doc_id", "vote", "windows"]
             )
 
-    def learn(batches: pa.Table) -> pa.Table:
-        rows = {i: (v > 0, w) for i, v, w in zip(batches["doc_id"].to_pylist(), batches["vote"].to_pylist(), batches["windows"].to_pylist(), strict=True)}
-        a, b, t = train([(i, bad, w) for i, (bad, w) in sorted(rows.items())])
-        return pa.table({"ordinary": [a], "toxic": [b], "threshold": [t]})
-
-    cut_up = used.mapInArrow(cut, "doc_id long, vote long, windows array<string>, one int")
-    got = cut_up.groupBy("one").applyInArrow(learn, "ordinary binary, toxic binary, threshold double").collect()
-    return (bytes(got[0]["ordinary"]), bytes(got[0]["toxic"]), got[0]["threshold"]) if got else (b"", b"", float("inf"))
+    def learn(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        setting = key[0].as_py()
+        own = {i: (v > 0, w) for i, v, w in zip(rows["doc_id"].to_pylist(), rows["vote"].to_pylist(), rows["windows"].to_pylist(), strict=True)}
+        f1, a, b, t = train([(i, bad, w) for i, (bad, w) in sorted(own.items())], STAYS[setting])
+        return pa.table({"setting": pa.array([setting], pa.int32()), "f1": [f1], "ordinary": [a], "toxic": [b], "threshold": [t]})
+
+    cut_up = checkpointed(used.mapInArrow(cut, "doc_id long, vote long, windows array<string>"))
+    each = cut_up.withColumn("setting", F.explode(F.array(*[F.lit(k) for k in range(len(STAYS))])))
+    # one partition a setting
+    got = each.repartitionById(len(STAYS), "setting").groupBy("setting").applyInArrow(learn, "setting int, f1 double, ordinary binary, toxic binary, threshold double").collect()
+    if not got:
+        return b"", b"", float("inf")
+    model = strictest([(r["f1"], bytes(r["ordinary"]), bytes(r["toxic"]), r["threshold"]) for r in sorted(got, key=lambda r: r["setting"])])
+    return model[1:]
 
 
 def score_documents(documents: DataFrame, reviews: DataFrame) -> DataFrame:

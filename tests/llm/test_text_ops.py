@@ -91,3 +91,22 @@ def test_copies_count_too(spark, seed):
     verdicts = spark.createDataFrame([(i, "remove" if bad else "keep") for i, _, _, bad in rows], "doc_id long, verdict string")
     found = {r["doc_id"] for r in abuse.score_documents(docs, verdicts).filter("toxic").collect()}
     assert {7000, 7001, 7002} <= found
+
+
+def test_phrases_that_one_review_has(spark):
+    """A phrase of a single reviewed document is found in others; an ordinary document judged toxic by mistake makes no report."""
+    rng = random.Random(5)
+    rows = corpus(rng, 900)
+    new = "vous autres ne valez pas mieux que des rats d egout"
+    rows += [(2000 + i, "s", f"searching for a red kite takes 3 seconds. {new}. the blue lamp looks fine in the new index", True) for i in range(6)]
+    wrong = [i for i, _, _, bad in rows[:900] if not bad][:6]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, source string, text string")
+    verdicts = [(i, "remove" if bad or i in wrong else "keep") for i, _, _, bad in rows[:600]] + [(2000, "remove")]
+    found = {r["doc_id"] for r in abuse.score_documents(docs, spark.createDataFrame(verdicts, "doc_id long, verdict string")).filter("toxic").collect()}
+    assert {2000 + i for i in range(6)} <= found
+    assert len({i for i, _, _, bad in rows if not bad} & found) <= 9
+
+
+def test_texts_of_few_letters():
+    assert abuse.windows("死ね") == ["死ね"] and abuse.windows("KYS!") == ["kys"] and abuse.windows("12 !") == []
+    assert abuse.windows("ok. this is a longer one") == ["this is a longer one"]
