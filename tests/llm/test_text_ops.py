@@ -25,6 +25,20 @@ def test_ids_against_the_library(spark):
     assert twice.count() == 10
 
 
+@pytest.mark.parametrize("step_rows", [2_000_000, 3_000])
+def test_ids_of_hard_words(monkeypatch, step_rows):
+    """Runs, numbers and random words of any length; steps that one recursion can't hold."""
+    monkeypatch.setattr(tokens, "STEP_ROWS", step_rows)
+    rng = random.Random(9)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "aab", "etaoin", "0123456789", "ÅÄÖåäöé", "日本語のテキスト。", "-=_.", "\x1c\x1d\x85 \t\x0b\n", "<|endoftext|>"]
+    texts = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 120))) for a in alphabets for _ in range(40)]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (500, 5_000)] + ["vvv" * 40 + "ov" * 90, "z" * 999 + "yz" * 500]
+    if step_rows > 10_000:
+        texts.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)))
+    plain = _encoding(PATH).encode_ordinary
+    assert tokens.Encoder(PATH).encode(texts).to_pylist() == [plain(t) for t in texts]
+
+
 def test_words_are_forgotten_not_lost(monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN_WORDS", 3)
     e = tokens.Encoder(PATH)
