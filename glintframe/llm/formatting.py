@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Records of a text that one task joins; of more common texts the records are spread over several.
+TEXT_ROWS = 1_000_000
 _SIGN = "[:=]"
 _PARTS = "[;|,&\\n\\r\\x0B\\x0C\\x85\\u2028\\u2029]"
 
 
 def _letters(c: Column) -> Column:
-    """Letters and digits (Unicode categories L and N) in lower case."""
-    return F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", "")
+    """Letters and digits (Unicode categories L and N) in lower case, whatever stood between them; a final sigma is a sigma."""
+    return F.translate(F.lower(F.regexp_replace(c, "[^\\p{L}\\p{N}]+", "")), "\u03c2", "\u03c3")
 
 
 def canonical(text: Column) -> Column:
@@ -35,6 +37,19 @@ def canonical(text: Column) -> Column:
     return F.when(F.length(form) > 1, form)
 
 
+def _raw(records: DataFrame, text: str, ident: str) -> DataFrame:
+    """Byte-identical records collapsed: (_text, _n, _id)."""
+    kept = records.filter(F.col(text).isNotNull() & F.col(ident).isNotNull())
+    return kept.groupBy(F.col(text).alias("_text")).agg(F.count(F.lit(1)).alias("_n"), F.min(ident).alias("_id"))
+
+
+def _classes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    forms = raw.withColumn("canonical", canonical(F.col("_text"))).filter("canonical is not null")
+    classes = forms.groupBy("canonical").agg(F.min("_id").alias("first"), F.sum("_n").alias("copies"))
+    # always true, but with it both uses of the raw groups have the same columns and share one shuffle
+    return classes, forms.join(classes, "canonical").filter(F.col("_id") >= F.col("first"))
+
+
 def collapse(records: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFrame]:
     """Classes of equal records and the class of every distinct raw text.
 
@@ -42,19 +57,25 @@ def collapse(records: DataFrame, text: str, ident: str) -> tuple[DataFrame, Data
     second (text, first).  Null texts and those without letter or digit, and
     rows with null ident, are no records.
     """
-    raw = (
-        records.filter(F.col(text).isNotNull() & F.col(ident).isNotNull())
-        .groupBy(F.col(text).alias("_text"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(ident).alias("_id"))
-    )
-    forms = raw.withColumn("canonical", canonical(F.col("_text"))).filter("canonical is not null")
-    classes = forms.groupBy("canonical").agg(F.min("_id").alias("first"), F.sum("_n").alias("copies"))
-    # always true, but with it both uses of the raw groups have the same columns and share one shuffle
-    of_text = forms.join(classes, "canonical").filter(F.col("_id") >= F.col("first"))
+    classes, of_text = _classes(_raw(records, text, ident))
     return classes, of_text.select(F.col("_text").alias(text), "first")
 
 
 def copies(records: DataFrame, text: str, ident: str) -> DataFrame:
-    """(first, ident): one row for each record that equals one of a smaller ident."""
-    _, of_text = collapse(records, text, ident)
-    return records.select(text, ident).join(of_text, text).filter(F.col(ident) != F.col("first")).select("first", ident)
+    """(first, ident): one row for each record that equals one of a smaller ident.
+
+    The records of a text that more than ``TEXT_ROWS`` have are spread over
+    several tasks, by parts told from the hash of the text; such texts are at
+    most one in ``TEXT_ROWS`` records.
+    """
+    raw = _raw(records, text, ident)
+    _, of_text = _classes(raw)
+    common = raw.filter(F.col("_n") > TEXT_ROWS).select(F.xxhash64("_text").alias("_hash"), F.ceil(F.col("_n") / TEXT_ROWS).alias("_parts"))
+    parts = F.broadcast(common.groupBy("_hash").agg(F.max("_parts").cast("int").alias("_parts")))
+    n = F.coalesce("_parts", F.lit(1))
+    own = records.select(F.col(text).alias("_text"), F.col(ident).alias("_ident")).withColumn("_hash", F.xxhash64("_text")).join(parts, "_hash", "left")
+    found = of_text.select("_text", "first").withColumn("_hash", F.xxhash64("_text")).join(parts, "_hash", "left")
+    spread = own.withColumn("_part", F.pmod(F.xxhash64("_ident"), n).cast("int"))
+    every = found.withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1)))
+    joined = spread.drop("_hash", "_parts").join(every.drop("_hash", "_parts"), ["_text", "_part"])
+    return joined.filter(F.col("_ident") != F.col("first")).select("first", F.col("_ident").alias(ident))

@@ -95,10 +95,10 @@ WITH raw AS (
   SELECT query, n, id, CASE WHEN regexp_matches(query, '[:=]')
     THEN 'F' || array_to_string(list_sort(list_filter(list_transform(
            regexp_split_to_array(query, '[;|,&\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]'),
-           lambda p: regexp_replace(lower(regexp_extract(p, '^[^:=]*')), '[^\p{L}\p{N}]+', '', 'g') || chr(1)
-                  || regexp_replace(lower(regexp_replace(p, '^[^:=]*[:=]?', '')), '[^\p{L}\p{N}]+', '', 'g')),
+           lambda p: replace(lower(regexp_replace(regexp_extract(p, '^[^:=]*'), '[^\p{L}\p{N}]+', '', 'g')), 'ς', 'σ') || chr(1)
+                  || replace(lower(regexp_replace(regexp_replace(p, '^[^:=]*[:=]?', ''), '[^\p{L}\p{N}]+', '', 'g')), 'ς', 'σ')),
            lambda f: f <> chr(1))), chr(2))
-    ELSE 'T' || regexp_replace(lower(query), '[^\p{L}\p{N}]+', '', 'g') END AS canonical
+    ELSE 'T' || replace(lower(regexp_replace(query, '[^\p{L}\p{N}]+', '', 'g')), 'ς', 'σ') END AS canonical
   FROM raw
 ), class AS (SELECT canonical, min(id) AS first, sum(n)::BIGINT AS copies FROM form WHERE length(canonical) > 1 GROUP BY canonical)
 """

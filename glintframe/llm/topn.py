@@ -2,8 +2,8 @@
 
 Every input partition is cut into runs ordered by (group, score descending,
 rank, id).  Within a run only an item's first row of a group is kept, and no
-more rows of a group than the largest N asked for: rows beyond can't be among
-the result.  The runs are stored as packed blocks by bucket of the group, so
+more rows of a group than its N, or than a bound on the N of all but
+``LARGE_GROUPS`` groups: rows beyond can't be among the result.  The runs are stored as packed blocks by bucket of the group, so
 one shuffle brings the runs of a bucket, and the N of its groups, together.
 There a loser tree merges them and, after N outputs of a group, seeks every
 run to its next group.  A hot group reaches its bucket as at most N rows a
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ RUN_ROWS = 1 << 19
 BUCKET_ROWS = 250_000
 #: Decoded rows of a bucket that are held before they are merged into one run.
 WAVE_ROWS = 4_000_000
+#: Groups whose own N is sent to every executor, at most: those of the largest N.
+LARGE_GROUPS = 100_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -152,8 +155,41 @@ def merge_runs(runs: list[Run], limit) -> Iterator[tuple[int, np.ndarray]]:
             h = tree.heads[tree.winner]
 
 
-def build_run(table: pa.Table, most: int) -> Run:
-    """One run of a table (g, score, rank, id, item): first rows of each (group, item), at most ``most`` of a group."""
+class Bound:
+    """How many rows of a group a run keeps: ``most``, and more for the groups that are named."""
+
+    def __init__(self, most: int, groups: np.ndarray, limits: np.ndarray):
+        order = np.argsort(groups)
+        self.most, self.groups, self.limits = most, groups[order], limits[order]
+
+    def of(self, groups: np.ndarray) -> np.ndarray:
+        out = np.full(len(groups), self.most, np.int64)
+        if len(self.groups):
+            at = np.minimum(np.searchsorted(self.groups, groups), len(self.groups) - 1)
+            named = self.groups[at] == groups
+            out[named] = self.limits[at[named]]
+        return out
+
+
+ALL = Bound(int(_LAST), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def bound_of(asked: DataFrame) -> Bound:
+    """The bound for limits (g, n): the least power of two that all but ``LARGE_GROUPS`` keep to, and the groups above it."""
+    power = F.greatest(F.lit(0), F.ceil(F.log2("n"))).cast("int")
+    counts = sorted((r["power"], r["count"]) for r in asked.groupBy(power.alias("power")).count().collect())
+    above, most = 0, 1 << counts[-1][0] if counts else 0
+    for k in range(len(counts) - 1, -1, -1):
+        above += counts[k][1]
+        if above > LARGE_GROUPS:
+            break
+        most = 1 << counts[k - 1][0] if k else 0
+    large = asked.filter(F.col("n") > most).collect()
+    return Bound(most, np.array([r["g"] for r in large], np.int64), np.array([r["n"] for r in large], np.int64))
+
+
+def build_run(table: pa.Table, most: Bound) -> Run:
+    """One run of a table (g, score, rank, id, item): first rows of each (group, item), and of a group no more than its bound."""
     item = table["item"].combine_chunks()
     g, score, rank, ident = (table[c].to_numpy() for c in ("g", "score", "rank", "id"))
     order = np.lexsort((ident, rank, -score, g))
@@ -163,7 +199,7 @@ def build_run(table: pa.Table, most: int) -> Run:
     first.sort()
     own = groups[first]
     place = np.arange(len(first)) - np.searchsorted(own, own)
-    rows = order[first[place < most]]
+    rows = order[first[place < most.of(g[order][first])]]
     item = item.take(pa.array(rows)).cast(pa.binary()).cast(pa.large_binary())
     starts = np.frombuffer(item.buffers()[1], np.int64, len(item) + 1, item.offset * 8) if len(item) else np.zeros(1, np.int64)
     data = item.buffers()[2].to_pybytes()[starts[0] : starts[-1]] if len(item) and item.buffers()[2] else b""
@@ -182,13 +218,13 @@ def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], schema=_PACKED)
 
 
-def _run_writer(buckets: int, most: int):
+def _run_writer(buckets: int, most: Broadcast):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def flush():
-            run = build_run(pa.Table.from_batches(held), most)
+            run = build_run(pa.Table.from_batches(held), most.value)
             to = _bucket(run.group, buckets)
             for b in np.unique(to):
                 yield _packed([(int(b), 1, run.take(np.flatnonzero(to == b)).pack())])
@@ -247,7 +283,7 @@ def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "item": pa.array([r.item(i) for r in taken for i in range(len(r.group))], pa.binary()),
             }
         )
-        return build_run(whole, _LAST)
+        return build_run(whole, ALL)
 
     def finish() -> Iterator[pa.RecordBatch]:
         ids = [runs[k].ident[rows] for k, rows in merge_runs(runs, limiter())]
@@ -291,7 +327,7 @@ def top_n_per_group(rows: DataFrame, limits: DataFrame, group: str, item: str, s
     idents long, items string.
     """
     asked = limits.filter(F.col(group).isNotNull() & (F.col(n) > 0)).groupBy(sortable(F.col(group)).alias("g")).agg(F.max(F.col(n).cast("long")).alias("n"))
-    most = asked.agg(F.max("n")).first()[0] or 0
+    most = rows.sparkSession.sparkContext.broadcast(bound_of(asked))
     # the count comes from the files' footers
     buckets = max(8, -(-rows.count() // BUCKET_ROWS))
     used = rows.filter(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(ident).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).select(
@@ -302,5 +338,5 @@ def top_n_per_group(rows: DataFrame, limits: DataFrame, group: str, item: str, s
         F.col(item).cast("string").alias("item"),
     )
     schema = "bucket int, kind int, block binary"
-    blocks = used.mapInArrow(_run_writer(buckets, int(most)), schema).unionByName(asked.mapInArrow(_limit_writer(buckets), schema))
+    blocks = used.mapInArrow(_run_writer(buckets, most), schema).unionByName(asked.mapInArrow(_limit_writer(buckets), schema))
     return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_merger, "id long").select(F.col("id").alias(ident))

@@ -60,7 +60,7 @@ def test_many_runs_of_a_hot_group(spark, monkeypatch, wave):
     for part in tables:
         cols = list(zip(*part, strict=True))
         t = pa.table({"g": np.array(cols[1], np.int64), "score": np.array(cols[3], np.float32), "rank": np.array([2**63 - 1 if r is None else r for r in cols[4]], np.int64), "id": np.array(cols[0], np.int64), "item": list(cols[2])})
-        runs.append(topn.build_run(t, 17))
+        runs.append(topn.build_run(t, topn.Bound(17, np.zeros(0, np.int64), np.zeros(0, np.int64))))
     monkeypatch.setattr(topn, "WAVE_ROWS", wave)
     blocks = [(0, 0, np.array([list(limits), list(limits.values())], np.int64).tobytes())] + [(0, 1, r.pack()) for r in runs]
     got = [i for b in topn._merger(iter([topn._packed(blocks)])) for i in b["id"].to_pylist()]
@@ -72,6 +72,19 @@ def test_top_n_of_nothing(spark):
     assert tops(spark, [(1, 1, "k", 0.5, 1)], []) == []
 
 
+@pytest.mark.parametrize("large", [0, 1, 3, 100])
+def test_one_very_large_n(spark, monkeypatch, large):
+    """The N of a few groups doesn't hold for the runs of all others."""
+    monkeypatch.setattr(topn, "LARGE_GROUPS", large)
+    rng = random.Random(large)
+    matches = [(i, rng.choice([1, 1, 1, 2, 3, 4, 5]), f"k{rng.randrange(60)}", rng.choice([0.1, 0.2, 0.3]), rng.choice([None, 1, 2])) for i in range(900)]
+    requests = [(1, 40), (2, 3), (3, 2), (4, 1)]
+    assert tops(spark, matches, requests) == brute(matches, requests)
+    bound = topn.bound_of(spark.createDataFrame(requests, "g long, n long"))
+    assert bound.of(np.array([1, 2, 3, 4])).tolist() == {0: [64] * 4, 1: [40, 4, 4, 4], 3: [40, 3, 2, 1], 100: [40, 3, 2, 1]}[large]
+    assert bound.of(np.array([9])).tolist() == [{0: 64, 1: 4, 3: 1, 100: 0}[large]]
+
+
 def canon(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     return [r[0] for r in df.select("i", formatting.canonical(F.col("t")).alias("c")).orderBy("i").select("c").collect()]
@@ -84,6 +97,16 @@ def test_canonical_forms(spark):
     different = canon(spark, ["red fox", "fox red", "redfox=", "réd fox", "a=1;b=2", "a=2;b=1", "a=1;a=1", "a=1", "12", "a:b=c", "ab:c"])
     assert len(set(different)) == len(different)
     assert canon(spark, [None, "", " ", "?!;:", "👍"]) == [None] * 5
+    # a final sigma depends on what follows in the text, not on the letters
+    assert len(set(canon(spark, ["ΟΔΟΣ ΑΒ", "οδοσ-αβ", "οδος αβ", "ΟΔΟΣΑΒ"]))) == 1
+
+
+def test_common_texts_are_spread(spark, monkeypatch):
+    rows = [(i, "Red fox" if i % 3 else "red  fox") for i in range(1, 400)] + [(500 + i, f"only {i}") for i in range(20)] + [(600, "only 3!")]
+    df = spark.createDataFrame(rows, "request_id long, query string")
+    whole = sorted(map(tuple, formatting.copies(df, "query", "request_id").collect()))
+    monkeypatch.setattr(formatting, "TEXT_ROWS", 50)
+    assert sorted(map(tuple, formatting.copies(df, "query", "request_id").collect())) == whole == [(1, i) for i in range(2, 400)] + [(503, 600)]
 
 
 def test_collapse(spark):
