@@ -70,7 +70,8 @@ def copies(records: DataFrame, text: str, ident: str) -> DataFrame:
     """
     raw = _raw(records, text, ident)
     _, of_text = _classes(raw)
-    common = raw.filter(F.col("_n") > TEXT_ROWS).select(F.xxhash64("_text").alias("_hash"), F.ceil(F.col("_n") / TEXT_ROWS).alias("_parts"))
+    # every text has an ident, but with it the raw groups are shared here too
+    common = raw.filter((F.col("_n") > TEXT_ROWS) & F.col("_id").isNotNull()).select(F.xxhash64("_text").alias("_hash"), F.ceil(F.col("_n") / TEXT_ROWS).alias("_parts"))
     parts = F.broadcast(common.groupBy("_hash").agg(F.max("_parts").cast("int").alias("_parts")))
     n = F.coalesce("_parts", F.lit(1))
     own = records.select(F.col(text).alias("_text"), F.col(ident).alias("_ident")).withColumn("_hash", F.xxhash64("_text")).join(parts, "_hash", "left")
