@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import checkpointed
+
 #: Records of a text that one task joins; of more common texts the records are spread over several.
 TEXT_ROWS = 1_000_000
 _SIGN = "[:=]"
@@ -43,11 +45,14 @@ def _raw(records: DataFrame, text: str, ident: str) -> DataFrame:
     return kept.groupBy(F.col(text).alias("_text")).agg(F.count(F.lit(1)).alias("_n"), F.min(ident).alias("_id"))
 
 
-def _classes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    forms = raw.withColumn("canonical", canonical(F.col("_text"))).filter("canonical is not null")
+def _forms(records: DataFrame, text: str, ident: str) -> DataFrame:
+    """(_text, _n, _id, canonical) of every distinct text that has a canonical form."""
+    return _raw(records, text, ident).withColumn("canonical", canonical(F.col("_text"))).filter("canonical is not null")
+
+
+def _classes(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = forms.groupBy("canonical").agg(F.min("_id").alias("first"), F.sum("_n").alias("copies"))
-    # always true, but with it both uses of the raw groups have the same columns and share one shuffle
-    return classes, forms.join(classes, "canonical").filter(F.col("_id") >= F.col("first"))
+    return classes, forms.join(classes, "canonical")
 
 
 def collapse(records: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +62,7 @@ def collapse(records: DataFrame, text: str, ident: str) -> tuple[DataFrame, Data
     second (text, first).  Null texts and those without letter or digit, and
     rows with null ident, are no records.
     """
-    classes, of_text = _classes(_raw(records, text, ident))
+    classes, of_text = _classes(_forms(records, text, ident))
     return classes, of_text.select(F.col("_text").alias(text), "first")
 
 
@@ -68,10 +73,10 @@ def copies(records: DataFrame, text: str, ident: str) -> DataFrame:
     several tasks, by parts told from the hash of the text; such texts are at
     most one in ``TEXT_ROWS`` records.
     """
-    raw = _raw(records, text, ident)
-    _, of_text = _classes(raw)
-    # every text has an ident, but with it the raw groups are shared here too
-    common = raw.filter((F.col("_n") > TEXT_ROWS) & F.col("_id").isNotNull()).select(F.xxhash64("_text").alias("_hash"), F.ceil(F.col("_n") / TEXT_ROWS).alias("_parts"))
+    # used three times
+    forms = checkpointed(_forms(records, text, ident))
+    _, of_text = _classes(forms)
+    common = forms.filter(F.col("_n") > TEXT_ROWS).select(F.xxhash64("_text").alias("_hash"), F.ceil(F.col("_n") / TEXT_ROWS).alias("_parts"))
     parts = F.broadcast(common.groupBy("_hash").agg(F.max("_parts").cast("int").alias("_parts")))
     n = F.coalesce("_parts", F.lit(1))
     own = records.select(F.col(text).alias("_text"), F.col(ident).alias("_ident")).withColumn("_hash", F.xxhash64("_text")).join(parts, "_hash", "left")
