@@ -115,6 +115,36 @@ placed AS (
 SELECT match_id FROM kept WHERE place <= n
 """
 
+_USABLE_SQL = """
+WITH RECURSIVE h AS (SELECT index_name, max(dimensions) AS d FROM index_header WHERE index_name IS NOT NULL AND dimensions > 0 GROUP BY index_name),
+every AS (
+  SELECT 0 AS side, vec_id, index_name, embedding FROM index_entry UNION ALL SELECT 1, vec_id, index_name, embedding FROM search_response
+), usable AS (
+  SELECT side, vec_id, index_name, embedding::DOUBLE[] AS v FROM every JOIN h USING (index_name)
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = d AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+)"""
+_P2_SQL = (
+    _USABLE_SQL
+    + """, pair AS (
+  SELECT q.vec_id AS q, e.vec_id AS e, round(list_cosine_similarity(q.v, e.v), 12) AS s FROM usable q JOIN usable e ON q.index_name = e.index_name AND q.side = 1 AND e.side = 0
+)
+SELECT q AS response_vec_id, e AS entry_vec_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, e) AS place FROM pair WHERE s >= 0.9) WHERE place <= 5"""
+)
+_P3_SQL = (
+    _USABLE_SQL
+    + """, link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.index_name = b.index_name AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), root AS (SELECT a, min(b) AS low FROM link GROUP BY a),
+reach(vec_id, first) AS (
+  SELECT a, a FROM root WHERE a < low
+  UNION
+  SELECT l.b, r.first FROM reach r JOIN link l ON l.a = r.vec_id
+), own AS (SELECT vec_id, min(first) AS first FROM reach GROUP BY vec_id)
+SELECT first AS first_vec_id, vec_id FROM (SELECT *, count(*) OVER (PARTITION BY first) AS n FROM own) WHERE n >= 3 AND vec_id <> first"""
+)
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture and how often each is taken."""
     mixed, _ = mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
@@ -164,6 +194,8 @@ QUERIES = {
     "p9_rates": p9_rates,
 }
 SQL = {
+    "p2_found": _P2_SQL,
+    "p3_found": _P3_SQL,
     "p5_found": _FORMS_SQL
     + "SELECT c.first AS first_request_id, r.request_id FROM search_request r JOIN form f ON f.query = r.query JOIN class c USING (canonical) WHERE r.request_id <> c.first",
     "p5_distinct_queries": _FORMS_SQL + "SELECT first AS first_request_id, copies FROM class",
