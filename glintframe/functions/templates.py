@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words that a slot may have; slots are joined with each other.
+#: Words that a slot may have, and prompts that a pattern may make; slots are joined with each other.
 MAX_WORDS = 10_000
+MAX_PROMPTS = 1_000_000_000
 
 
 def expand(spark: SparkSession, patterns: Sequence[str], words: Mapping[str, DataFrame], fixed: Sequence[str] = ()) -> DataFrame:
@@ -21,11 +22,13 @@ def expand(spark: SparkSession, patterns: Sequence[str], words: Mapping[str, Dat
     out = spark.createDataFrame([(f,) for f in fixed], "prompt string")
     for pattern in patterns:
         slots = [s for s in words if "{" + s + "}" in pattern]
-        rows = spark.createDataFrame([(pattern,)], "prompt string")
+        rows, made = spark.createDataFrame([(pattern,)], "prompt string"), 1
         for s in slots:
             own = words[s].select(F.col(words[s].columns[0]).alias(s)).filter(F.col(s).isNotNull()).distinct()
-            if own.limit(MAX_WORDS + 1).count() > MAX_WORDS:
-                raise ValueError(f"more than {MAX_WORDS} words for {s}")
+            n = own.limit(MAX_WORDS + 1).count()
+            made *= max(1, n)
+            if n > MAX_WORDS or made > MAX_PROMPTS:
+                raise ValueError(f"more than {MAX_WORDS} words for {s}, or more than {MAX_PROMPTS} prompts of a pattern")
             # every word with every prompt is what a grammar means; its sides are bounded above
             rows = rows.crossJoin(F.broadcast(own))
         out = out.unionByName(rows.select(reduce(lambda t, s: F.replace(t, F.lit("{" + s + "}"), F.col(s)), slots, F.col("prompt")).alias("prompt")))

@@ -114,6 +114,18 @@ def deterministic_pool(items: DataFrame, anchors: DataFrame, size: int) -> DataF
     return wanted.withColumn("is_anchor", F.lit(True)).unionByName(others.withColumn("is_anchor", F.lit(False)))
 
 
+def sample_vectors(sample: DataFrame, entries: DataFrame, by: tuple[str, ...] = (), vector: str = "embedding") -> DataFrame:
+    """The rows of ``sample`` whose key an index holds, each with the vector of the key's last entry there (highest position).
+
+    ``entries`` has (*by, key, position, vector); with ``by`` a row joins every
+    index that has its key.  Null keys match nothing; rows of the sample that
+    repeat a key stay.  A key has one entry an index left before the join, so
+    a key that very many rows of the sample share only meets a few rows.
+    """
+    last = entries.filter("key is not null").groupBy(*by, "key").agg(F.max_by(vector, "position").alias(vector))
+    return sample.join(last, "key")
+
+
 def presence(ledger: DataFrame, installed: DataFrame, on: str) -> DataFrame:
     """Full outer join of a ledger with what is there, and the ``state``: ``active``, ``missing`` or ``inactive``."""
     a, b = ledger.withColumn("_a", F.lit(True)), installed.withColumn("_b", F.lit(True))

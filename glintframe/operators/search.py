@@ -212,7 +212,9 @@ def top_k(index: DataFrame, queries: DataFrame, key: str = "key", vector: str =
             if not negated:
                 found = _scores(index, key, vector, ids, ks, q)
             else:
-                found = _survivors(_scores(index, key, vector, ids, None, q, np.array([r["negative"] for r in own], np.float64)), threshold_groups)
+                # thresholds need every group's score before the first group can be left out: scored once, read three times
+                both = checkpointed(_scores(index, key, vector, ids, None, q, np.array([r["negative"] for r in own], np.float64)))
+                found = _survivors(both, threshold_groups)
             limit = spark.createDataFrame(list(zip(ids.tolist(), ks.tolist(), strict=True)), "query_id long, k long")
             # limits are as many as the queries of a block
             ranked = _rank(found.select("query_id", "key", F.col("s0").alias("score"))).join(F.broadcast(limit), "query_id").filter("rank <= k").select("query_id", "rank", "key", "score")

@@ -122,6 +122,13 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.deterministic_pool(docs, anchors, 500 if n <= 500 else 5 * n)
 
 
+def sample_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents about a catalog key that an index holds, with the key's last entry in each such index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("catalog_key").alias("key"))
+    entries = table(spark, sf_dir, "index_entry").filter("index_name is not null").select("index_name", "key", F.struct("position", "vec_id").alias("position"), "vec_id")
+    return B.sample_vectors(docs, entries, ("index_name",), "vec_id").select("doc_id", "key", "index_name", "vec_id")
+
+
 def shared_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that only one library's catalogs hold."""
     e = B.catalog_entries(table(spark, sf_dir, "build_request").select("build_id", "library", "entries"))
@@ -170,7 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         index_stats, index_check, fingerprint_map, first_entries, catalog_entries, incremental_build, incremental_build_snapshots, request_errors, request_settings,
-        latest_generation, response_lists, latency_summary, tag_counts, tag_predicates, tag_metrics, pool, shared_paths, leaked_queries, prompt_grammar, views, key_digests,
+        latest_generation, response_lists, latency_summary, tag_counts, tag_predicates, tag_metrics, pool, sample_entries, shared_paths, leaked_queries, prompt_grammar, views, key_digests,
     )
 }
 SQL = {
@@ -227,6 +234,9 @@ SQL = {
         WITH k AS (SELECT DISTINCT doc_id::VARCHAR AS key FROM documents), a AS (SELECT key FROM k WHERE key LIKE '%00')
         SELECT key, true AS is_anchor FROM a UNION ALL
         (SELECT key, false FROM k WHERE key NOT LIKE '%00' ORDER BY sha256(key), key LIMIT (SELECT CASE WHEN count(*) <= 500 THEN 500 - count(*) ELSE 4 * count(*) END FROM a))""",
+    "sample_entries": """
+        SELECT d.doc_id, d.catalog_key AS key, e.index_name, e.vec_id FROM documents d JOIN (
+          SELECT index_name, key, arg_max(vec_id, (position, vec_id)) AS vec_id FROM index_entry WHERE index_name IS NOT NULL AND key IS NOT NULL GROUP BY index_name, key) e ON e.key = d.catalog_key""",
     "shared_paths": f"SELECT any_value(library) AS library, path FROM (SELECT DISTINCT library, e.path AS path FROM {_ENTRY} WHERE e.path IS NOT NULL) GROUP BY path HAVING count(*) = 1",
     "leaked_queries": "SELECT query FROM search_request WHERE query IS NOT NULL AND coalesce(embedding_only, false) INTERSECT SELECT query FROM search_request WHERE query IS NOT NULL AND NOT coalesce(embedding_only, false)",
     "prompt_grammar": """

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from glintframe.functions.encoders import hashing_factory
 from glintframe.operators import distill, requests
 from glintframe.sources import documents as D
+from glintframe.sources import index_file as X
+from glintframe.streaming import command
 from glintframe.streaming import serve as S
 
 DIM = 16
@@ -56,6 +58,28 @@ def test_batch(spark, index):
     assert S.responses(empty, index, hashing_factory(DIM)).count() == 0
 
 
+def test_timings(spark, index):
+    lines = spark.createDataFrame([(x,) for x in LINES], "value string")
+    by = {r["generation"]: r for r in S.answer(D.parse_requests(lines), index, hashing_factory(DIM), timings=True).collect()}
+    assert by[5]["query_ms"] > 0 and by[5]["search_ms"] > 0
+    assert by[4]["query_ms"] > 0 and by[4]["search_ms"] is None and by[2]["query_ms"] is None
+
+
+def test_report_and_command(spark, index, tmp_path, capsys):
+    path = tmp_path / "i.sidx"
+    X.export_index(index.withColumn("fingerprint", F.lit(1)), path, "hashing@1", 7, DIM)
+    assert command.main([str(path), "red fox", "--top-k", "3", "--min-results", "2"], spark) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert (out["format"], out["model"], out["indexModel"], out["items"], out["embeddings"], out["dimensions"], out["threads"]) == (1, "hashing", "hashing@1", 7, 7, DIM, 1)
+    assert {m["key"] for m in out["matches"]} >= {"red", "fox"} and len(out["matches"]) == 3 and out["queryMs"] > 0 and out["searchMs"] > 0
+    assert command.main([str(path), " "], spark) == 1
+    assert json.loads(capsys.readouterr().out)["message"] == "query must not be empty"
+    assert command.main([str(tmp_path / "none.sidx"), "x"], spark) == 1
+    for wrong in (["--top-k", "3", "--top-k", "4"], ["--top"], ["--negative-weight", "x"]):
+        with pytest.raises(SystemExit):
+            command.main([str(path), "x", *wrong], spark)
+
+
 def test_stream(spark, index, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "r.jsonl").write_text("\n".join(LINES))
