@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, for files that tasks write themselves; it must be on a file system that all executors mount."""
+    ensure_checkpoint_dir(spark)
+    base = urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get())
+    if base.scheme not in ("", "file"):
+        raise ValueError("index files need a mounted folder in spark.checkpoint.dir")
+    return f"{base.path}/{uuid.uuid4().hex}"

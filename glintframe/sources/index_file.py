@@ -26,6 +26,8 @@ MAGIC = b"SKWDSEM3"
 TEXT_LIMIT = 1 << 20
 SIDECAR = ".fingerprint"
 
+#: Rows of a file of a folder of parts.
+PART_ROWS = 65_536
 ENTRY_SCHEMA = "position long, key string, fingerprint decimal(20,0), embedding array<float>"
 HEADER_SCHEMA = "dimensions long, model string, fingerprint decimal(20,0), count decimal(20,0)"
 BATCH_ROWS = 4_096
@@ -204,6 +206,38 @@ def export_index(df: DataFrame, path: str | Path, model: str, fingerprint: int,
     write_index(path, model, fingerprint, ((r["key"], int(r["fingerprint"]), r["embedding"]) for r in ordered.toLocalIterator()), dimensions)
 
 
+def export_parts(df: DataFrame, folder: str | Path, model: str, fingerprint: int, dimensions: int) -> list[tuple[str, int]]:
+    """A table (position, key, fingerprint, embedding) as a folder of index files, each written whole by the task that holds its rows; (file, rows) of each.
+
+    ``folder`` is one that all executors share.  Files have at most
+    ``PART_ROWS`` rows; within a partition they keep the order of position.
+    A task that runs again replaces its files.  :func:`read_index` reads the
+    folder with one task a file.
+    """
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, part = TaskContext.get().partitionId(), [], 0
+        for batch in batches:
+            held += zip(batch["key"].to_pylist(), map(int, batch["fingerprint"].to_pylist()), batch["embedding"].to_pylist(), strict=True)
+            while len(held) >= PART_ROWS:
+                yield put(number, part, held[:PART_ROWS])
+                held, part = held[PART_ROWS:], part + 1
+        if held:
+            yield put(number, part, held)
+
+    def put(number: int, part: int, rows: list) -> pa.RecordBatch:
+        path = folder / f"part-{number:06d}-{part:04d}.sidx"
+        write_index(path, model, fingerprint, rows, dimensions)
+        return pa.record_batch([pa.array([str(path)]), pa.array([len(rows)], pa.int64())], names=["path", "rows"])
+
+    ordered = df.select("position", "key", "fingerprint", "embedding").sortWithinPartitions("position")
+    return [(r["path"], r["rows"]) for r in ordered.mapInArrow(write, "path string, rows long").collect()]
+
+
 def _batches(path: str, vectors: bool) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, Entry]] = []
 

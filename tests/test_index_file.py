@@ -127,3 +127,14 @@ def test_side_files(spark, tmp_path):
         Projection(tmp_path / "p")
     np.savez(tmp_path / "z.npz", keys=np.array(["a", "b"]), embeddings=np.eye(2, dtype=np.float32))
     assert [r["key"] for r in load_npz(spark, tmp_path / "z.npz").orderBy("position").collect()] == ["a", "b"]
+
+
+def test_folder_of_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "PART_ROWS", 3)
+    rows = [(i, f"k{i % 7}", i, [float(i), 1.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "position long, key string, fingerprint long, embedding array<float>")
+    parts = X.export_parts(df.repartition(4), tmp_path / "parts", "m@1", 5, 2)
+    assert sum(n for _, n in parts) == 20 and all(n <= 3 for _, n in parts) and all(X.validate(p).count == n for p, n in parts)
+    got = sorted((int(r["fingerprint"]), r["key"], tuple(r["embedding"])) for r in X.read_index(spark, tmp_path / "parts").collect())
+    assert got == [(i, k, tuple(v)) for i, k, _, v in rows]
+    assert X.export_parts(df.limit(0), tmp_path / "none", "m@1", 5, 2) == []
