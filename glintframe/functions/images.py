@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .views import patch_grid, view_rectangle
 
 PIXELS = "path string, width int, height int, rgb binary, error string"
-#: Formats that this module decodes; the JVM's readers do jpeg and gif.
+#: Formats that this module decodes; the JVM's readers do jpeg, gif and tiff.
 OWN = "*.{png,bmp,ppm,pgm,pbm,pnm,PNG,BMP,PPM,PGM,PBM,PNM}"
-JVM = "*.{jpg,jpeg,gif,JPG,JPEG,GIF}"
+JVM = "*.{jpg,jpeg,gif,tif,tiff,JPG,JPEG,GIF,TIF,TIFF}"
 
 
 def _pnm(b: bytes) -> np.ndarray:

@@ -275,3 +275,15 @@ def test_tags_of_sqlite(spark, tmp_path):
     assert [tuple(r) for r in files.tag_table(spark, tmp_path / "t.db").collect()] == [("a", "x, y")]
 
 
+
+
+def test_tiff(spark, tmp_path):
+    """A baseline TIFF of one strip, as the JVM reads it."""
+    rgb = np.arange(3 * 4 * 3, dtype=np.uint8).reshape(3, 4, 3)
+    tags = [(256, 3, 1, 4), (257, 3, 1, 3), (258, 3, 3, 8 + 2 + 9 * 12 + 4), (259, 3, 1, 1), (262, 3, 1, 2), (273, 4, 1, 8 + 2 + 9 * 12 + 4 + 6), (277, 3, 1, 3), (278, 3, 1, 3), (279, 4, 1, 36)]
+    body = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0) + struct.pack("<3H", 8, 8, 8) + rgb.tobytes()
+    (tmp_path / "a.tif").write_bytes(body)
+    (tmp_path / "b.tiff").write_bytes(b"II*\x00broken")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert (got["a.tif"]["width"], got["a.tif"]["height"], got["a.tif"]["error"]) == (4, 3, None) and bytes(got["a.tif"]["rgb"]) == rgb.tobytes()
+    assert got["b.tiff"]["rgb"] is None and got["b.tiff"]["error"]
