@@ -143,3 +143,13 @@ def test_many_blocks_of_queries(spark, monkeypatch):
     scores = asked @ np.float32(items).T
     want = {i: [(n + 1, f"k{j:02d}") for n, j in enumerate(np.argsort(-s)[: 2 + i % 3])] for i, s in enumerate(scores)}
     assert {i: sorted(v) for i, v in got.items()} == want
+
+
+def test_both_ways_to_thresholds(spark):
+    """Thresholds found in one row a query, and by aggregates over all groups."""
+    rng = np.random.default_rng(12)
+    rows = [(1, float(x)) for x in np.r_[rng.normal(0.1, 0.02, 60), rng.normal(0.7, 0.05, 25)]] + [(2, 0.5)] * 9 + [(3, 0.1), (3, 0.2), (3, 0.9)] + [(4, float(x)) for x in rng.random(41)] + [(4, float("nan")), (4, None)]
+    scores = spark.createDataFrame(rows, "query_id long, score double")
+    one, many = ({r["query_id"]: r["threshold"] for r in S.thresholds(scores, n).collect() if r["threshold"] is not None} for n in (2_000_000, 0))
+    assert one.keys() == many.keys() == {1, 4}
+    assert all(abs(one[q] - many[q]) < 1e-12 for q in one)
